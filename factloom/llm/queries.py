@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name -> module of this folder that holds a function of that name.
 MODULES = {
+    "op2_best_fit_packing": "packing",
+    "op4_language_id": "language_id",
     "op10_token_counts": "token_counts",
 }
 
