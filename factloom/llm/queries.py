@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op2_best_fit_packing": "packing",
     "op4_language_id": "language_id",
+    "op5_warc": "warc",
+    "op6_media_columns": "jpeg",
     "op10_token_counts": "token_counts",
 }
 
