@@ -10,6 +10,9 @@ MODULES = {
     "op4_language_id": "language_id",
     "op5_warc": "warc",
     "op6_media_columns": "jpeg",
+    "op7_license_scans": "licenses",
+    "op8_sharding": "sharding",
+    "op9_simhash_near_dedup": "simhash",
     "op10_token_counts": "token_counts",
 }
 
