@@ -24,7 +24,7 @@ def _fraction(*columns) -> F.Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
 
 
-def units(docs: DataFrame, quota: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def units(docs: DataFrame, quota: int, shards: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, unit (a number equal for the members), single, label (the first shard)."""
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -36,7 +36,7 @@ def units(docs: DataFrame, quota: int, *, key: str = "doc_id", text: str = "text
     most = max(1, quota // UNIT_SHARE)
     joined = rows.join(counts, "same")
     deal = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("n") / most))
-    return joined.select("doc_id", "size", "text_crc32", F.xxhash64("same", deal).alias("unit"), (F.col("n") == 1).alias("single"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("label"))
+    return joined.select("doc_id", "size", "text_crc32", F.xxhash64("same", deal).alias("unit"), (F.col("n") == 1).alias("single"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("label"))
 
 
 def propagated(rows: DataFrame, quota: int, shards: int, turn: int) -> DataFrame:
@@ -104,7 +104,7 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, key:
     """
     total = docs.count()
     quota = -(-total // shards)
-    rows = staged(units(docs, quota, key=key, text=text), "units")
+    rows = staged(units(docs, quota, shards, key=key, text=text), "units")
     for turn in range(rounds):
         after = propagated(rows, quota, shards, turn)
         if after is rows:
