@@ -187,8 +187,8 @@ def links_between(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) ->
     if radius > 2:
         raise ValueError("full cells are exact up to two bits")
     n, ones, both = bit_statistics(prints)
-    found = None
-    for number, (bits, t) in enumerate(allocation(n, ones, ordered_bits(n, ones, both), radius)):
+    found = crowded = None
+    for bits, t in allocation(n, ones, ordered_bits(n, ones, both), radius):
         mask = F.lit(_mask(bits))
         flips = [_mask(c) for x in range(1, t + 1) for c in combinations(bits, x)]
         own = prints.select("print", F.col("print").bitwiseAND(mask).alias("cell"))
@@ -201,18 +201,20 @@ def links_between(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) ->
         met = asks.join(filed.where("n > 1" if not flips else "n > 0").where(F.col("members").isNotNull()), "cell").select("print", F.explode("members").alias("other"))
         near = met.where((F.col("print") != F.col("other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius))
         near = near.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b"))
-        full = asks.join(filed.where(F.col("n") > cell).select("cell"), "cell", "left_semi").select("print").distinct()
-        near = near.unionByName(_midpoints(full))
+        full = asks.join(filed.where(F.col("n") > cell).select("cell"), "cell", "left_semi").select("print")
         found = near if found is None else found.unionByName(near)
-    return prints.sparkSession.createDataFrame([], "a long, b long") if found is None else found.distinct()
+        crowded = full if crowded is None else crowded.unionByName(full)
+    # a print takes the linear way once, however many of its cells are full
+    return found.unionByName(_midpoints(crowded.distinct())).distinct()
 
 
 def _midpoints(prints: DataFrame) -> DataFrame:
     """Links between prints two bits apart or closer, as stars: equal values among 65 filed by each."""
     flips = F.array(*[F.lit(signed(x)) for x in [0, *[1 << i for i in range(64)]]])
     filed = prints.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("value"))
-    first = filed.groupBy("value").agg(F.min("print").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return filed.join(first, "value").where(F.col("print") != F.col("a")).select("a", F.col("print").alias("b"))
+    # at most 65 prints file a value: those within one bit of it
+    groups = filed.groupBy("value").agg(F.min("print").alias("a"), F.collect_list("print").alias("members")).where(F.size("members") > 1)
+    return groups.select("a", F.explode("members").alias("b")).where("a <> b")
 
 
 def components(nodes: DataFrame, links: DataFrame, value: str = "low", rounds: int = 60) -> DataFrame:
