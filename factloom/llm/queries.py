@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module of this folder that holds a function of that name.
 MODULES = {
+    "op1_quality_classifier": "quality",
     "op2_best_fit_packing": "packing",
+    "op3_benchmark_decontamination": "decontamination",
     "op4_language_id": "language_id",
     "op5_warc": "warc",
     "op6_media_columns": "jpeg",
