@@ -1,0 +1,166 @@
+"""Text identity, shape, prompt classes, capture scoring and screening as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def normalized(text: Column) -> Column:
+    """Lower case, ASCII white space collapsed to single spaces and stripped."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f\x0B]+", " "))
+
+
+def content_id(kind: Column, topic: Column, claim: Column) -> Column:
+    """type:12 hex digits of SHA-1 over type, topic and normalised claim."""
+    nul = F.char(F.lit(0))
+    return F.concat(kind, F.lit(":"), F.substring(F.sha1(F.concat(kind, nul, topic, nul, normalized(claim)).cast("binary")), 1, 12))
+
+
+def fingerprint(text: Column) -> Column:
+    """First 16 hex digits of SHA-256 of the normalised text."""
+    return F.substring(F.sha2(normalized(text).cast("binary"), 256), 1, 16)
+
+
+def token_estimate(text: Column) -> Column:
+    """A token per four characters, at least one."""
+    return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("int")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def token_set(text: Column) -> Column:
+    """Distinct lower-case words of three or more ASCII letters, digits or underscores."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{3,}"), F.lit(0)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared over all members of two sets; 0 where both are empty."""
+    shared, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(every > 0, shared / every).otherwise(0.0)
+
+
+def first_match(rules: list[tuple[str, object]], default) -> Column:
+    out = None
+    for condition, value in rules:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return out.otherwise(default)
+
+
+#: Prompt classes in order of priority: name, confidence, pattern (no lookaround; ASCII word bounds).
+PROMPT_CLASSES = (
+    ("contradictory", 0.9, r"\b(but (i|we) (thought|said|decided)|contradicts?|conflicts? with|no longer true)\b"),
+    ("implementation", 0.7, r"\b(implement|add|write|build|create|refactor|fix|change|update|migrate)\b"),
+    ("navigational", 0.8, r"\b(where|which file|find|locate|show me|open)\b"),
+    ("semantic", 0.6, r"\b(why|how|what|explain|describe)\b"),
+)
+
+
+def prompt_class(text: Column) -> Column:
+    low = F.lower(text)
+    return first_match([(low.rlike(p), F.lit(n)) for n, _, p in PROMPT_CLASSES], F.lit("semantic"))
+
+
+def prompt_confidence(text: Column) -> Column:
+    low = F.lower(text)
+    return first_match([(low.rlike(p), F.lit(c)) for _, c, p in PROMPT_CLASSES], F.lit(0.3))
+
+
+#: Signals of a rule-like sentence and their weights; negative ones speak against it.
+SIGNALS = (
+    ("universal", 3, r"\b(always|never|every|each|all|any)\b"),
+    ("modal", 2, r"\b(must|should|shall|cannot|required)\b"),
+    ("exception", 2, r"\b(except|unless|only if|other than)\b"),
+    ("reason", 2, r"\b(because|since|so that|due to)\b"),
+    ("choice", 2, r"\b(instead of|rather than|prefer|we use|we chose|decided)\b"),
+    ("negation", 1, r"\b(do not|does not|not allowed|forbidden|avoid)\b"),
+    ("scope", 1, r"\b(in production|for tests|at runtime|on startup)\b"),
+    ("definition", 1, r"\b(means|is defined as|refers to|stands for)\b"),
+    ("number", 1, r"\b[0-9]+ ?(ms|s|seconds|minutes|hours|days|mb|gb|percent)\b"),
+    ("imperative", -2, r"^(please|can you|could you|add|fix|write|run|make|create|show|let)\b"),
+    ("addressed", -2, r"\b(you|your|yours)\b"),
+    ("deictic", -2, r"\b(this|that|these|those|here|above|below)\b"),
+)
+
+
+def capture_score(unit: Column) -> Column:
+    """Sum of the weights of matching signals; 0 outside 25 to 400 characters and for questions."""
+    low = F.lower(unit)
+    total = sum((F.when(low.rlike(p), w).otherwise(0) for _, w, p in SIGNALS), F.lit(0))
+    fits = F.length(unit).between(25, 400) & ~unit.endswith("?")
+    return F.when(fits, total).otherwise(0).cast("int")
+
+
+def capture_signals(unit: Column) -> Column:
+    low = F.lower(unit)
+    return F.filter(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, _, p in SIGNALS]), lambda x: x.isNotNull())
+
+
+def proposed_type(signals: Column) -> Column:
+    return F.when(F.array_contains(signals, "choice") | F.array_contains(signals, "reason"), "decision").when(F.array_contains(signals, "universal") | F.array_contains(signals, "modal"), "invariant").otherwise("convention")
+
+
+def units(text: Column) -> Column:
+    """Clauses: split after sentence ends, at lines, arrows and semicolons."""
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), r"\n|->|=>|;"), F.trim), lambda u: u != "")
+
+
+def drop_reason(unit: Column) -> Column:
+    """Why a clause is no candidate at all, or null."""
+    low = F.lower(unit)
+    return (
+        F.when(F.length(unit) < 25, "short")
+        .when(F.length(unit) > 400, "long")
+        .when(unit.endswith("?"), "question")
+        .when(unit.startswith("/"), "command")
+        .when(unit.startswith("```") | unit.startswith("|"), "markup")
+        .when(low.rlike(r"https?://"), "link")
+        .when(low.rlike(r"\b(todo|fixme)\b"), "todo")
+    )
+
+
+def looks_like_document(text: Column) -> Column:
+    """Over 3000 characters, or four lines or more with a table row or 30 % markdown lines."""
+    lines = F.split(text, "\n")
+    marked = F.size(F.filter(lines, lambda x: x.rlike(r"^(#{1,6} |[-*] |[0-9]+\. |> |```)")))
+    table = F.exists(lines, lambda x: x.rlike(r"^\|.*\|$"))
+    return (F.length(text) > 3000) | ((F.size(lines) >= 4) & (table | (marked / F.size(lines) >= 0.3)))
+
+
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a token's characters in bits."""
+    chars = F.split(token, "")
+    n = F.length(token)
+    return -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
+
+
+#: Kinds of secrets and personal data that an expression without lookaround tells.
+GUARD_PATTERNS = (
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("aws-key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
+    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("google-key", r"\bAIza[0-9A-Za-z_-]{35}\b"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("url-password", r"[a-z][a-z0-9+.-]*://[^/ :@]+:[^/ :@]+@"),
+    ("bearer", r"\b[Bb]earer [A-Za-z0-9._-]{20,}"),
+    ("credential-assignment", r"(?i)\b(password|passwd|secret|token|api_key|apikey)\b[ ]*[=:][ ]*[\"'][^\"' ]{8,}[\"']"),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("card", r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b"),
+    ("phone", r"\+[0-9][0-9 ()-]{8,16}[0-9]\b"),
+)
+
+
+def guard_kinds(text: Column) -> Column:
+    """Kinds found; mail addresses under example domains and noreply ones are exempt."""
+    cleaned = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)*example\.(com|org|net)\b|\b(no-?reply)@[A-Za-z0-9.-]+", "")
+    return F.filter(F.array(*[F.when(cleaned.rlike(p), F.lit(k)) for k, p in GUARD_PATTERNS]), lambda x: x.isNotNull())
+
+
+def redacted(text: Column) -> Column:
+    """Every match replaced by its kind in brackets, in the order of the kinds."""
+    for kind, pattern in GUARD_PATTERNS:
+        text = F.regexp_replace(text, pattern, f"[{kind}]") if kind != "email" else text
+    return text
