@@ -79,22 +79,19 @@ def _share(*columns) -> F.Column:
 class Model:
     """Frozen log ratios and cuts to each component, and the mixture's shares."""
 
-    def __init__(self, counts: dict[str, np.ndarray], sizes: dict[str, int]):
-        """counts: documents by bucket, and sizes: documents, of ``good`` and each component."""
+    def __init__(self, sizes: dict[str, int], signs: dict[str, tuple[np.ndarray, np.ndarray, float]]):
+        """sizes: documents of ``good`` and each component; signs: buckets that tell a component, their log
+        ratios, and the mean log ratio of a target document's buckets."""
         total = max(1, sum(sizes.values()))
-        self.parts = [c for c in COMPONENTS if sizes.get(c) and sizes.get("good")]
+        self.parts = list(signs)
         self.shares = np.array([max(0.01, sizes.get(c, 0) / total) for c in ("good", *self.parts)])
         self.shares /= self.shares.sum()
         self.cuts = np.zeros(len(self.parts))
         self.ratios = np.zeros((BUCKETS, len(self.parts)), dtype=np.float32)
-        for i, part in enumerate(self.parts):
-            a, b = counts["good"], counts[part]
-            n, pi = a + b, sizes["good"] / (sizes["good"] + sizes[part])
-            z = (b - n * (1 - pi)) / np.sqrt(np.maximum(n * pi * (1 - pi), 1e-9))
-            ratio = np.log((a + PSEUDO * pi) / (b + PSEUDO * (1 - pi))) - np.log(pi / (1 - pi))
-            kept = np.where((z >= max(5.0, Z * np.sqrt(total / LABELLED))) & (ratio < -1), ratio, 0)
+        for i, (at, ratio, usual) in enumerate(signs.values()):
+            self.ratios[at, i] = ratio
             # less what a target document of as many buckets holds by chance: long texts are no worse
-            self.ratios[:, i] = kept - (kept * a).sum() / max(1.0, a.sum())
+            self.ratios[:, i] -= usual
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Log ratio to each component less its cut, of each whole text; without n-grams -cut."""
@@ -124,35 +121,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     return once.select("kind", (_share("same", F.lit(12)) < 1 / TUNE_PARTS).alias("tune"), "text")
 
 
+def signs_of(counts: DataFrame, part: str, sizes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets whose models are not tied between target and ``part``; only these reach the driver."""
+    a, b, n = F.col("good"), F.col(part), F.col("good") + F.col(part)
+    pi = sizes["good"] / (sizes["good"] + sizes[part])
+    z = (b - n * (1 - pi)) / F.sqrt(n * (pi * (1 - pi)))
+    ratio = F.log((a + PSEUDO * pi) / (b + PSEUDO * (1 - pi))) - float(np.log(pi / (1 - pi)))
+    least = max(5.0, Z * (sum(sizes.values()) / LABELLED) ** 0.5)
+    found = counts.where(n > 0).select("at", "good", ratio.alias("ratio"), z.alias("z")).where((F.col("z") >= least) & (F.col("ratio") < -1)).collect()
+    total = counts.agg(F.sum("good")).first()[0] or 1.0
+    at, ratios = np.array([r["at"] for r in found], dtype=np.int64), np.array([r["ratio"] for r in found])
+    return at, ratios, float((ratios * np.array([r["good"] for r in found])).sum() / total)
+
+
 def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    """Bucket counts on the executors, summed by Spark; at most ``BUCKETS`` numbers a kind reach the driver.
+    """Bucket counts on the executors, summed and compared by Spark; the driver gets the telling buckets.
 
     Cuts are set on the tuning share. Without good or without other labels every document passes.
     """
     sample = staged(labelled_sample(docs, labels, **names), "labelled")
+    kinds = ("good", *COMPONENTS)
 
     def count(batch: pa.RecordBatch) -> dict:
         by: dict[str, list] = {}
         for kind, t in zip(*columns_of(batch, "kind", "text")):
             by.setdefault(kind, []).append(buckets_of(t))
-        rows = [(k, *np.unique(np.concatenate(b), return_counts=True)) for k, b in by.items()]
-        return {"kind": [k for k, at, _ in rows for _ in at], "at": np.concatenate([r[1] for r in rows]), "n": np.concatenate([r[2] for r in rows])}
+        rows = [(kinds.index(k), *np.unique(np.concatenate(b), return_counts=True)) for k, b in by.items()]
+        return {"kind": pa.array(np.concatenate([np.full(len(r[1]), r[0]) for r in rows]), pa.int32()), "at": np.concatenate([r[1] for r in rows]), "n": np.concatenate([r[2] for r in rows])}
 
     teach = sample.where("NOT tune")
-    sums = map_batches(teach, count, "kind string, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    sums = map_batches(teach, count, "kind int, at long, n long")
+    counts = staged(sums.groupBy("at").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("double").alias(k) for i, k in enumerate(kinds)]), "counts")
     sizes = {r["kind"]: r["n"] for r in teach.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = {k: np.bincount(f["at"].to_numpy(np.int64), f["n"].to_numpy(float), BUCKETS) for k, f in sums.groupby("kind")}
-    model = Model(counts, sizes)
+    model = Model(sizes, {c: signs_of(counts, c, sizes) for c in COMPONENTS if sizes.get(c) and sizes.get("good")})
     frozen = sample.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
         kinds, texts = columns_of(batch, "kind", "text")
         return {"kind": kinds, "m": pa.array(frozen.value.margins(texts).tolist(), pa.list_(pa.float64()))}
 
-    tuned = map_batches(sample.where("tune"), score, "kind string, m array<double>").toPandas()
+    tuned = map_batches(sample.where("tune"), score, "kind string, m array<double>").collect()
     for i, part in enumerate(model.parts):
-        own = tuned[tuned["kind"].isin(["good", part])]
-        model.cuts[i] = best_cut(np.array([m[i] for m in own["m"]]), (own["kind"] == "good").to_numpy())
+        own = [r for r in tuned if r["kind"] in ("good", part)]
+        model.cuts[i] = best_cut(np.array([r["m"][i] for r in own]), np.array([r["kind"] == "good" for r in own], dtype=bool))
     return model
 
 
