@@ -1,0 +1,215 @@
+"""Readers of repository files: documents, manifests, DDL, symbols, modules, commits.
+
+Files come as (path, text) rows from Spark's binary reader; each parser is a function from one file to
+facts (kind, topic, claim, line) that runs in Arrow batches, a broken file is skipped and counted.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import tomllib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Fact = tuple[str, str, str, int]
+FACTS = "path string, kind string, topic string, claim string, line int"
+SKIPPED = "skipped"
+
+
+def files(spark: SparkSession, root: str, pattern: str = "*", *, exclude: tuple[str, ...] = (".git", "node_modules", "__pycache__"), max_kb: int = 512) -> DataFrame:
+    """path (below root), text of files up to ``max_kb``, outside excluded folders."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    below = F.expr(f"substring(path, instr(path, {json.dumps(root.split('://')[-1].rstrip('/'))}) + {len(root.split('://')[-1].rstrip('/')) + 1})")
+    own = raw.where(F.col("length") <= max_kb * 1024).select(below.alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return own.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*exclude)))
+
+
+def only_changed(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    return rows.join(changed.select("path").distinct(), "path", "left_semi")
+
+
+def parsed(rows: DataFrame, parse: Callable[[str, str], list[Fact]]) -> DataFrame:
+    """Facts of each file; one ``skipped`` fact for a file that cannot be parsed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["text"]):
+                try:
+                    out += [(path, *fact) for fact in parse(path, text or "")]
+                except (ValueError, KeyError, TypeError, AttributeError) as error:
+                    out.append((path, SKIPPED, path, str(error)[:200], 0))
+            yield pd.DataFrame(out, columns=["path", "kind", "topic", "claim", "line"]).astype({"line": "int32"})
+
+    return rows.select("path", "text").mapInPandas(run, FACTS)
+
+
+def capped(facts: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` facts in the order of path and line - the feature of bounded ingestion."""
+    return facts.orderBy("path", "line", "topic").limit(cap)
+
+
+# --- parsers -------------------------------------------------------------------------------------
+
+
+def requirement(text: str) -> tuple[str, str]:
+    """Name and version part of a requirement line, without marker and extras."""
+    m = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;#]*)", text)
+    if not m:
+        raise ValueError(f"no requirement: {text[:40]}")
+    return m[1], m[2].strip()
+
+
+def pyproject(path: str, text: str) -> list[Fact]:
+    project = tomllib.loads(text).get("project", {})
+    out = [("dependency", f"python:{n}", v or "any", 0) for n, v in map(requirement, project.get("dependencies", []))]
+    out += [("dependency", f"python:{n}", f"{v or 'any'} ({extra})", 0) for extra, rows in project.get("optional-dependencies", {}).items() for n, v in map(requirement, rows)]
+    if "requires-python" in project:
+        out.append(("runtime", "python", project["requires-python"], 0))
+    return out + [("build_recipe", f"script:{n}", v, 0) for n, v in project.get("scripts", {}).items()]
+
+
+def package_json(path: str, text: str) -> list[Fact]:
+    data = json.loads(text)
+    out = [("dependency", f"npm:{n}", v, 0) for group in ("dependencies", "devDependencies", "peerDependencies") for n, v in data.get(group, {}).items()]
+    out += [("runtime", n, v, 0) for n, v in data.get("engines", {}).items()]
+    return out + [("build_recipe", f"script:{n}", v, 0) for n, v in data.get("scripts", {}).items()]
+
+
+def cargo_toml(path: str, text: str) -> list[Fact]:
+    data = tomllib.loads(text)
+    out = [("dependency", f"cargo:{n}", v if isinstance(v, str) else v.get("version", "any"), 0) for group in ("dependencies", "dev-dependencies", "build-dependencies") for n, v in data.get(group, {}).items()]
+    edition = data.get("package", {}).get("edition")
+    return out + ([("runtime", "rust-edition", str(edition), 0)] if edition else [])
+
+
+def requirements_txt(path: str, text: str) -> list[Fact]:
+    lines = ((i, x.split("#")[0].strip()) for i, x in enumerate(text.splitlines(), 1))
+    return [("dependency", f"python:{n}", v or "any", i) for i, x in lines if x and not x.startswith("-") for n, v in [requirement(x)]]
+
+
+def go_mod(path: str, text: str) -> list[Fact]:
+    out, inside = [], False
+    for i, line in enumerate(text.splitlines(), 1):
+        words = line.split("//")[0].split()
+        if words[:1] == ["go"] and len(words) == 2:
+            out.append(("runtime", "go", words[1], i))
+        elif words[:2] == ["require", "("]:
+            inside = True
+        elif words == [")"]:
+            inside = False
+        elif (inside and len(words) >= 2) or (words[:1] == ["require"] and len(words) >= 3):
+            name, version = words[-2:] if not inside else words[:2]
+            out.append(("dependency", f"go:{name}", version, i))
+    return out
+
+
+def pubspec_yaml(path: str, text: str) -> list[Fact]:
+    out, section = [], ""
+    for i, line in enumerate(text.splitlines(), 1):
+        if m := re.match(r"^(\w+):\s*$", line):
+            section = m[1]
+        elif line[:1].strip():
+            section = ""
+        elif m := re.match(r"^  ([\w-]+):\s*(.*)$", line):
+            if section in ("dependencies", "dev_dependencies"):
+                out.append(("dependency", f"pub:{m[1]}", m[2].strip("'\" ") or "any", i))
+            elif section == "environment":
+                out.append(("runtime", m[1], m[2].strip("'\" "), i))
+    return out
+
+
+def readme(path: str, text: str, words: int = 50) -> list[Fact]:
+    """The title and the first paragraph after it, cut at ``words`` words."""
+    m = re.search(r"^#\s+(.+)$", text, re.M)
+    if not m:
+        return []
+    rest = text[m.end() :].strip().split("\n\n")[0]
+    return [("glossary", f"readme:{path}", f"{m[1].strip()}: {' '.join(rest.split()[:words])}", text[: m.start()].count("\n") + 1)]
+
+
+def top_level(text: str) -> list[str]:
+    """Parts between commas that stand in no parentheses or quotes."""
+    parts, depth, quote, start = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "," and depth == 0:
+            parts.append(text[start:i].strip())
+            start = i + 1
+    return [p for p in [*parts, text[start:].strip()] if p]
+
+
+CREATE = re.compile(r"create\s+table\s+(?:if\s+not\s+exists\s+)?([\w.\"`\[\]]+)\s*\(", re.I)
+
+
+def tables(text: str) -> Iterator[tuple[str, list[str], int]]:
+    """Name, column and constraint definitions, and line of each CREATE TABLE."""
+    text = re.sub(r"--[^\n]*", "", text)
+    for m in CREATE.finditer(text):
+        depth, i = 1, m.end()
+        while i < len(text) and depth:
+            depth += {"(": 1, ")": -1}.get(text[i], 0)
+            i += 1
+        if depth == 0:
+            yield re.sub(r"[\"`\[\]]", "", m[1]), top_level(text[m.end() : i - 1]), text[: m.start()].count("\n") + 1
+
+
+NOT_COLUMNS = ("primary", "foreign", "unique", "check", "constraint", "key", "index")
+
+
+def schema_sql(path: str, text: str) -> list[Fact]:
+    return [("schema_fact", f"table:{name}", ", ".join(d.split()[0].strip('"`[]') for d in parts if d.split()[0].lower() not in NOT_COLUMNS), line) for name, parts, line in tables(text)]
+
+
+CONSTRAINTS = (("primary key", r"\bprimary\s+key\b"), ("not null", r"\bnot\s+null\b"), ("unique", r"\bunique\b"), ("check", r"\bcheck\s*\("), ("foreign key", r"\breferences\s+[\w.\"`]+"))
+
+
+def invariants(path: str, text: str) -> list[Fact]:
+    """Constraints of each column or table as claims."""
+    return [("invariant", f"{name}.{d.split()[0].strip(chr(34))}", f"{label}: {' '.join(d.split())}", line) for name, parts, line in tables(text) for d in parts for label, pattern in CONSTRAINTS if re.search(pattern, d, re.I)]
+
+
+DECLARATIONS = {
+    "py": r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", "js": r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let)\s+(\w+)", "ts": r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|interface|type|enum)\s+(\w+)",
+    "go": r"^func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)|^type\s+([A-Z]\w*)", "rs": r"^\s*pub\s+(?:fn|struct|enum|trait|mod)\s+(\w+)", "java": r"^\s*public\s+(?:final\s+|abstract\s+)?(?:class|interface|enum|record)\s+(\w+)", "dart": r"^(?:abstract\s+)?class\s+(\w+)",
+}
+
+
+def symbols(path: str, text: str) -> list[Fact]:
+    """Declarations of a file; of a name seen twice the first."""
+    pattern = DECLARATIONS.get(path.rsplit(".", 1)[-1])
+    found: dict[str, int] = {}
+    for i, line in enumerate(text.splitlines(), 1):
+        if pattern and (m := re.match(pattern, line)):
+            found.setdefault(next(g for g in m.groups() if g), i)
+    return [("glossary", f"symbol:{path}:{name}", name, i) for name, i in found.items()]
+
+
+PARSERS = {"pyproject.toml": pyproject, "package.json": package_json, "Cargo.toml": cargo_toml, "requirements.txt": requirements_txt, "go.mod": go_mod, "pubspec.yaml": pubspec_yaml}
+
+
+def manifest(path: str, text: str) -> list[Fact]:
+    parse = PARSERS.get(path.rsplit("/", 1)[-1])
+    return parse(path, text) if parse else []
+
+
+def modules(paths: DataFrame, cap: int = 100) -> DataFrame:
+    """Top-level folders with their number of files, the largest ``cap``."""
+    return paths.where(F.col("path").contains("/")).groupBy(F.split("path", "/")[0].alias("module")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "module").limit(cap)
+
+
+def commits(log: DataFrame, since: int | None = None, first: int = 50, most: int = 500) -> DataFrame:
+    """Commit log rows (sha, ts, author, subject) as closed change decisions: the last ``first`` of a new
+    store, else up to ``most`` since a time."""
+    rows = log.where(F.col("ts") > since) if since is not None else log
+    newest = rows.orderBy(F.desc("ts"), "sha").limit(first if since is None else most)
+    return newest.select(F.concat(F.lit("commit:"), F.substring("sha", 1, 12)).alias("topic"), F.col("subject").alias("claim"), F.lit("decision").alias("kind"), F.lit("CLOSED").alias("decision_status"), F.lit("change").alias("decision_class"), F.col("ts").alias("valid_from"), F.col("sha").alias("source_ref"))
