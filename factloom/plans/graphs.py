@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import discovery, graph, merge
+from ..operators.stage import cut
 from .registry import query, seconds
 
 PAIRS = """c AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25),
@@ -36,6 +37,11 @@ def edges(t) -> DataFrame:
     return rolls.union(owns).union(together)
 
 
+def adjacent(t) -> DataFrame:
+    """The adjacency, kept: iterative operators read it many times, and its edges come from a self-join."""
+    return cut(graph.adjacency(edges(t)))
+
+
 @query(f"WITH {PAIRS} SELECT a, b, n, weight FROM pairs")
 def co_change_pairs(t):
     return pairs(t)
@@ -104,7 +110,7 @@ def start(t) -> DataFrame:
 
 @query(f"{REACH} SELECT node, min(depth) AS depth FROM reach GROUP BY node")
 def reach_3hop(t):
-    return graph.reachable(graph.adjacency(edges(t)), start(t), 3)
+    return graph.reachable(adjacent(t), start(t), 3)
 
 
 @query(f"""WITH {EDGES}, one AS (SELECT src_id AS src, dst_id AS dst, weight FROM e UNION ALL SELECT dst_id, src_id, weight FROM e WHERE NOT directed),
@@ -112,12 +118,12 @@ a AS (SELECT dst AS node, max(weight) AS weight FROM one WHERE src = 'S1' AND ds
 b AS (SELECT dst AS node, max(a.weight * one.weight) AS weight FROM a JOIN one ON src = a.node WHERE dst <> 'S1' AND dst NOT IN (SELECT node FROM a) GROUP BY 1)
 SELECT node, depth, round(weight, 6) AS weight FROM (SELECT node, 1 AS depth, weight FROM a UNION ALL SELECT node, 2, weight FROM b) ORDER BY depth, weight DESC, node LIMIT 200""")
 def graph_neighbors(t):
-    return graph.neighbors(edges(t), "S1", 2).select("node", "depth", F.round("weight", 6).alias("weight"))
+    return graph.neighbors(cut(edges(t)), "S1", 2).select("node", "depth", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def provenance_depth(t):
-    found = graph.provenance(graph.adjacency(edges(t)), start(t), 3)
+    found = graph.provenance(adjacent(t), start(t), 3)
     return found.select("node", "depth", "parent", graph.trail(F.col("depth"), F.col("via")).alias("trail"))
 
 
@@ -139,12 +145,12 @@ FIRST = REACH + ", u AS MATERIALIZED (SELECT DISTINCT node FROM reach)" + _round
 
 @query(f"{FIRST} SELECT node, round(rank, 6) AS rank FROM r20")
 def ppr_rank(t):
-    return graph.pagerank(graph.adjacency(edges(t)), start(t)).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(adjacent(t), start(t)).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def ppr_drilldown(t):
-    adj = graph.adjacency(edges(t))
+    adj = adjacent(t)
     rank = graph.pagerank(adj, start(t))
     modules = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"))
     children = t.nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("dst"))
