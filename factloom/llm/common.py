@@ -68,6 +68,26 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(docs: DataFrame, text: str, accepts) -> DataFrame:
+    """Rows of ``docs``, columns as they are, for whose texts ``accepts(list of texts)`` says true."""
+    at = docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots do not pass mapInArrow
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(accepts(batch.column(at).to_pylist()), pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    bounded_batches(docs.sparkSession)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as Spark's parser takes them whole, dots and all."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def text_bytes(column) -> F.Column:
     """UTF-8 length of a text column, 0 for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")

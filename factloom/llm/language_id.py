@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_batches, read
+from .common import columns_of, kept_rows, map_batches, read
 
 #: Bytes of context.
 ORDER = 3
@@ -245,16 +245,4 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, trees: Trees, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, columns as they are, whose language is determined with posterior ``least`` or more."""
     frozen = docs.sparkSession.sparkContext.broadcast(trees)
-    schema, at = docs.schema, docs.columns.index(text)
-
-    def keep(batches):
-        for batch in batches:
-            _, scores = predict_batch(frozen.value, batch.column(at).to_pylist())
-            kept = batch.filter(pa.array([s >= least for s in scores]))
-            if kept.num_rows:
-                yield kept
-
-    from .common import bounded_batches
-
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(keep, schema)
+    return kept_rows(docs, text, lambda texts: [s >= least for s in predict_batch(frozen.value, texts)[1]])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, columns_of, map_batches, read, staged
+from .common import bounded_batches, columns_of, map_batches, quoted, read, staged
 
 BUCKETS = 1 << 18
 #: Labelled rows that fit the models, about (a hash sample).
@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     """``row`` (a struct of the ``carry`` columns, default all), __score, __log_weight and __key (log
     weight + Gumbel noise of id and text) of each row."""
     frozen = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(text).alias("t"), _share(F.col(key), F.col(text), F.lit(13)).alias("u"))
+    rows = docs.select(F.struct(*quoted(carry or docs.columns)).alias("row"), F.col(text).alias("t"), _share(F.col(key), F.col(text), F.lit(13)).alias("u"))
 
     def run(batches):
         for batch in batches:

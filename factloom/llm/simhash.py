@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_batches, read, staged
+from .common import columns_of, map_batches, quoted, read, staged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Members of a cell that are compared pair by pair; fuller cells take the linear way.
@@ -279,7 +279,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **
 
     keep = keyed(found.where(F.col(key).eqNullSafe(F.col("component_id")))).select(own).distinct()
     first = Window.partitionBy(own).orderBy(text)
-    return keyed(docs).join(keep, own, "left_semi").withColumn("__factloom_nth", F.row_number().over(first)).where("__factloom_nth = 1").select(*docs.columns)
+    return keyed(docs).join(keep, own, "left_semi").withColumn("__factloom_nth", F.row_number().over(first)).where("__factloom_nth = 1").select(*quoted(docs.columns))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,3 +402,16 @@ def test_pipeline_stages(spark, tmp_path):
     found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i for i in found if i < 500} <= {i for i in range(0, 500, 3)} and 3 not in found and 3000 not in found and 0 in found
     assert not found & {1000, 1001}
+
+
+def test_clashing_columns(spark):
+    """Columns with the operators' own names, and with dots, pass the filtering stages as they came."""
+    docs, labels = quality_tables(spark)
+    for name in ("k", "t", "row", "codes", "print", "label", "a.b", "__key", "words", "score"):
+        docs = docs.withColumn(name, F.lit(1))
+    for kept in (quality.accepted(docs, labels), simhash.deduplicated(docs), language_id.accepted(docs, language_id.train(docs))):
+        assert kept.columns == docs.columns and kept.count() > 0
+    index = decontamination.build(decontamination.coded(docs), bench_table(spark))
+    assert decontamination.accepted(docs, index).columns == docs.columns
+    assert token_counts.token_counts(docs).count() == sharding.sharded(docs).count() == licenses.scanned(docs).count() == docs.count()
+    assert packing.pack_documents(docs).count() >= docs.count()
