@@ -1,0 +1,149 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Exact, by prefix filtering. Documents of equal sets are one node. All shingles have one order, common
+ones last (counts of a sample; they decide speed, not results), and two sets of Jaccard similarity 0.8
+share one of their first ``s - ceil(0.8 s) + 1`` shingles. Nodes that file the same shingle form a cell;
+pairs of a cell are compared by their whole sets.
+
+Cells up to ``CELL`` nodes give all pairs. In fuller ones, as large groups of copies make, a few nodes of
+each cell are compared with all others of it, components are found, and so on with more nodes each
+round, until all nodes outside of the cell's largest component have been compared with every node of
+other components: all pairs are then compared or known to be joined.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import columns_of, map_batches, staged
+from .simhash import components, one_of_each, row_key, shingle_hashes
+
+SHINGLE = 5
+#: Nodes of a cell that are compared pair by pair; of fuller cells, nodes that ask in the first round.
+CELL, ASKING = 64, 8
+#: Documents, about, that tell common shingles, and how many of them must hold one.
+SAMPLE_DOCS, COMMON = 4_000, 4
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct shingles, sorted; of a text up to five words the one of all; none without words."""
+    return np.unique(np.array(shingle_hashes(text or "", SHINGLE), dtype=np.uint64)).view(np.int64)
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def common_shingles(rows: DataFrame, total: int) -> dict[int, int]:
+    """Shingles that ``COMMON`` documents of a sample hold, and how many do: at most a ``COMMON``-th of the sample's."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"s": pa.array(np.concatenate([shingle_set(t) for t in columns_of(batch, "t")[0]]), pa.int64())}
+
+    draw = F.pmod(F.xxhash64("t", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(draw < min(1.0, SAMPLE_DOCS / max(1, total))).select("t")
+    found = map_batches(sample, run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return {r["s"]: r["n"] for r in found.toLocalIterator()}
+
+
+def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles by (count in the sample, value), as many as a set of similarity 0.8 cannot all miss."""
+    n, (known, counts) = len(shingles), common
+    if not n:
+        return shingles
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        order = np.lexsort((shingles, np.where(known[at] == shingles, counts[at], 0)))
+        shingles = shingles[order]
+    else:
+        shingles = np.sort(shingles)
+    return shingles[: n - (4 * n + 4) // 5 + 1]
+
+
+def filed(rows: DataFrame, common: dict[int, int]) -> DataFrame:
+    """own, node, size and prefix of each row, staged."""
+    known = np.array(sorted(common), dtype=np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((known, np.array([common[s] for s in known.tolist()], dtype=np.int64)))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t) for t in columns_of(batch, "t")[0]]
+        prefixes = pa.array([prefix_of(s, shared.value) for s in sets], pa.list_(pa.int64()))
+        return {"own": batch.column(0), "node": pa.array(map(node_of, sets), pa.int64()), "size": pa.array(map(len, sets), pa.int32()), "prefix": prefixes}
+
+    return staged(map_batches(rows.select("own", "t"), run, f"own {rows.schema['own'].dataType.simpleString()}, node long, size int, prefix array<long>"), "shingles")
+
+
+def alike(a: str, b: str) -> F.Column:
+    """Whether sets of these sizes can have a similarity of 0.8."""
+    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+
+
+def sets_of(rows: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its whole set, of ``nodes``, from the texts again, staged."""
+    wanted = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("own.hash").alias("hash")).select("hash")
+    texts = rows.select(F.col("own.hash").alias("hash"), "t").join(wanted, "hash", "left_semi").select("t")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t) for t in columns_of(batch, "t")[0]]
+        return {"node": pa.array(map(node_of, sets), pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))}
+
+    return staged(map_batches(texts, run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a Jaccard similarity of 0.8 or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
+
+
+def links_of(rows: DataFrame, known: DataFrame, cell: int = CELL, asking: int = ASKING) -> DataFrame:
+    """Links (a, b) between nodes: their components are those of all pairs of similarity 0.8 or more."""
+    nodes = known.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    tokens = nodes.select("node", "size", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = staged(tokens.join(shared, "token"), "cells")
+    small, full = members.where(F.col("n") <= cell).drop("n"), members.where(F.col("n") > cell).drop("n")
+    other = small.select("token", F.col("node").alias("b"), F.col("size").alias("other"))
+    pairs = staged(small.withColumnRenamed("node", "a").join(other, "token").where("a < b").where(alike("size", "other")).select("a", "b").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(full.select("node")).distinct()
+    sets = sets_of(rows, known, wanted)
+    links = staged(verified(pairs, sets), "links")
+    if full.isEmpty():
+        return links
+    inside = staged(full.select(F.col("node").alias("print")).distinct(), "nodes")
+    asked = None
+    while True:
+        labels = components(inside, links, "print")
+        now = staged(full.join(labels.withColumnRenamed("print", "node"), "node"), "cells")
+        most = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"))
+        outside = now.join(most, "token").where("component <> most.component").select("token", "node", "size", "component")
+        if asked is not None:
+            outside = outside.join(asked, ["token", "node"], "left_anti")
+        nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node"))
+        ask = staged(outside.withColumn("nth", nth).where(F.col("nth") <= asking).select("token", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("component").alias("own")), "asks")
+        if ask.isEmpty():
+            return links
+        met = now.join(ask, "token").where("component <> own").where(alike("size", "other"))
+        new = staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs")
+        links = links.unionByName(staged(verified(new, sets), "links"))
+        done = ask.select("token", F.col("asks").alias("node"))
+        asked = done if asked is None else asked.unionByName(done)
+        asking *= 4
+
+
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", cell: int = CELL, asking: int = ASKING) -> DataFrame:
+    """Rows of ``docs``, columns as they are, one of each component of near copies: that with the smallest
+    key, rows without key last. Rows are told apart by key and text, so repeated and null keys do no harm.
+
+    Null and wordless texts are copies of each other.
+    """
+    rows = docs.select(row_key(key, text).alias("own"), F.col(text).alias("t"))
+    known = filed(rows, common_shingles(rows, docs.count()))
+    links = links_of(rows, known, cell, asking)
+    nodes = staged(known.select(F.col("node").alias("print")).distinct(), "nodes")
+    labels = components(nodes, links, "print").withColumnRenamed("print", "node")
+    return one_of_each(docs, known.select("own", "node").join(labels, "node"), key=key, text=text)

@@ -268,18 +268,40 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return rows.join(known, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Rows of ``docs``, columns as they are, one of each component: that with the smallest key
-    (of rows that repeat a key, one)."""
-    found = near_duplicates(docs, key=key, text=text, **how)
-    own = "__factloom_key"
+def row_key(key: str, text: str) -> F.Column:
+    """What tells rows apart: the key, which may be null or repeated, and the text."""
+    return F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.xxhash64(key, text).alias("hash"))
+
+
+def one_of_each(docs: DataFrame, members: DataFrame, *, key: str, text: str) -> DataFrame:
+    """Rows of ``docs``, columns as they are, one of each component: the first by ``row_key``, rows
+    without key last. members: own (``row_key``) and component of every row."""
+    own, nth = "__factloom_own", "__factloom_nth"
+    keep = members.groupBy("component").agg(F.min("own").alias("own")).select(F.col("own.hash").alias("h"), F.col("own.key").alias("k"))
+    rows = docs.withColumn(own, F.xxhash64(key, text)).alias("rows")
+    found = rows.join(keep.alias("keep"), (F.col(f"rows.{own}") == F.col("keep.h")) & F.col(f"rows.`{key}`").eqNullSafe(F.col("keep.k")), "left_semi")
+    # rows that repeat key and text
+    first = Window.partitionBy(own, key).orderBy(own)
+    return found.withColumn(nth, F.row_number().over(first)).where(f"{nth} = 1").select(*quoted(docs.columns))
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn(own, F.coalesce(F.col(key).cast("string"), F.lit("null")))
 
-    keep = keyed(found.where(F.col(key).eqNullSafe(F.col("component_id")))).select(own).distinct()
-    first = Window.partitionBy(own).orderBy(text)
-    return keyed(docs).join(keep, own, "left_semi").withColumn("__factloom_nth", F.row_number().over(first)).where("__factloom_nth = 1").select(*quoted(docs.columns))
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Rows of ``docs``, columns as they are, one of each component: that with the smallest key
+    (of rows that repeat a key, one). Rows without key stand for themselves: one stays of a component
+    that has no other."""
+    plain = docs.select(row_key(key, text).alias("own"), F.col(text).alias("t"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"own": batch.column(0), "print": pa.array([signed(p) for p in fingerprints(columns_of(batch, "t")[0], shingle)], pa.int64())}
+
+    rows = staged(map_batches(plain, run, f"own {plain.schema['own'].dataType.simpleString()}, print long"), "prints")
+    nodes = staged(rows.select("print").distinct(), "nodes")
+    known = components(nodes, links_between(nodes, radius), "print")
+    found = one_of_each(docs, rows.join(known, "print"), key=key, text=text)
+    nth = "__factloom_nth"
+    first = Window.partitionBy(key).orderBy(text)
+    named = found.where(F.col(key).isNotNull()).withColumn(nth, F.row_number().over(first)).where(f"{nth} = 1")
+    return named.select(*quoted(docs.columns)).unionByName(found.where(F.col(key).isNull()))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,15 @@ def test_deduplicated_keeps_one(docs):
     assert len(keys) == len(set(keys)) and {6, 9}.issubset(keys) and 7 not in keys
 
 
+def test_rows_without_key_stay(spark):
+    """Groups of rows without key keep one row each; other texts of such rows stay."""
+    a, b, c = prose(90, 60), prose(90, 61), prose(90, 62)
+    rows = [(None, a), (None, a), (None, b), (None, c), (4, c), (5, prose(90, 63))]
+    for found in (simhash.deduplicated,):
+        kept = found(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, a), (None, b), (4, c), (5, rows[5][1])], key=repr)
+
+
 def bench_table(spark):
     return spark.createDataFrame([(1, prose(40, 900)), (2, prose(18, 901)), (3, None), (None, prose(60, 902)), (4, "too short")], "item_id long, text string")
 
