@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontamination, language_id, packing, quality, simhash
+from factloom.llm import decontamination, language_id, near_copies, packing, quality
 from factloom.llm.common import read, staged
 
 
@@ -24,8 +24,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.deduplicated(docs)
+    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest id."""
+    return near_copies.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ SHINGLE = 5
 #: Nodes of a cell that are compared pair by pair; of fuller cells, nodes that ask in the first round.
 CELL, ASKING = 64, 8
 #: Documents, about, that tell common shingles, and how many of them must hold one.
-SAMPLE_DOCS, COMMON = 4_000, 4
+SAMPLE_DOCS, COMMON = 20_000, 3
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -77,9 +77,11 @@ def filed(rows: DataFrame, common: dict[int, int]) -> DataFrame:
     return staged(map_batches(rows.select("own", "t"), run, f"own {rows.schema['own'].dataType.simpleString()}, node long, size int, prefix array<long>"), "shingles")
 
 
-def alike(a: str, b: str) -> F.Column:
-    """Whether sets of these sizes can have a similarity of 0.8."""
-    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+def alike(a: str, at: str, b: str, there: str) -> F.Column:
+    """Whether sets of sizes a and b can have a similarity of 0.8 where a shared shingle has these places
+    in their order: those before it match only those before, those behind only those behind."""
+    most = F.least(at, there) + 1 + F.least(F.col(a) - F.col(at), F.col(b) - F.col(there)) - 1
+    return most * 9 >= (F.col(a) + F.col(b)) * 4
 
 
 def sets_of(rows: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -103,12 +105,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links_of(rows: DataFrame, known: DataFrame, cell: int = CELL, asking: int = ASKING) -> DataFrame:
     """Links (a, b) between nodes: their components are those of all pairs of similarity 0.8 or more."""
     nodes = known.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    tokens = nodes.select("node", "size", F.explode("prefix").alias("token"))
+    tokens = nodes.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(tokens.join(shared, "token"), "cells")
     small, full = members.where(F.col("n") <= cell).drop("n"), members.where(F.col("n") > cell).drop("n")
-    other = small.select("token", F.col("node").alias("b"), F.col("size").alias("other"))
-    pairs = staged(small.withColumnRenamed("node", "a").join(other, "token").where("a < b").where(alike("size", "other")).select("a", "b").distinct(), "pairs")
+    other = small.select("token", F.col("node").alias("b"), F.col("size").alias("other"), F.col("at").alias("there"))
+    pairs = staged(small.withColumnRenamed("node", "a").join(other, "token").where("a < b").where(alike("size", "at", "other", "there")).select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(full.select("node")).distinct()
     sets = sets_of(rows, known, wanted)
     links = staged(verified(pairs, sets), "links")
@@ -120,14 +122,14 @@ def links_of(rows: DataFrame, known: DataFrame, cell: int = CELL, asking: int =
         labels = components(inside, links, "print")
         now = staged(full.join(labels.withColumnRenamed("print", "node"), "node"), "cells")
         most = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"))
-        outside = now.join(most, "token").where("component <> most.component").select("token", "node", "size", "component")
+        outside = now.join(most, "token").where("component <> most.component").select("token", "node", "size", "at", "component")
         if asked is not None:
             outside = outside.join(asked, ["token", "node"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node"))
-        ask = staged(outside.withColumn("nth", nth).where(F.col("nth") <= asking).select("token", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("component").alias("own")), "asks")
+        ask = staged(outside.withColumn("nth", nth).where(F.col("nth") <= asking).select("token", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("at").alias("there"), F.col("component").alias("own")), "asks")
         if ask.isEmpty():
             return links
-        met = now.join(ask, "token").where("component <> own").where(alike("size", "other"))
+        met = now.join(ask, "token").where("component <> own").where(alike("size", "at", "other", "there"))
         new = staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs")
         links = links.unionByName(staged(verified(new, sets), "links"))
         done = ask.select("token", F.col("asks").alias("node"))

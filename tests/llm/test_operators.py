@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import bpe, decontamination, jpeg, language_id, licenses, packing, quality, sharding, simhash, token_counts, warc
+from factloom.llm import bpe, decontamination, jpeg, language_id, licenses, near_copies, packing, quality, sharding, simhash, token_counts, warc
 
 random.seed(7)
 WORDS = ["".join(random.choices("abcdefghij", k=random.randint(2, 8))) for _ in range(400)]
@@ -328,11 +328,48 @@ def test_rows_without_key_stay(spark):
     """Groups of rows without key keep one row each; other texts of such rows stay."""
     a, b, c = prose(90, 60), prose(90, 61), prose(90, 62)
     rows = [(None, a), (None, a), (None, b), (None, c), (4, c), (5, prose(90, 63))]
-    for found in (simhash.deduplicated,):
+    for found in (simhash.deduplicated, near_copies.deduplicated):
         kept = found(spark.createDataFrame(rows, "doc_id long, text string"))
         assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, a), (None, b), (4, c), (5, rows[5][1])], key=repr)
 
 
+def jaccard_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = [a if v == b else v for v in low]
+    return low
+
+
+@pytest.mark.parametrize("cell, asking", [(64, 8), (2, 1)])
+def test_near_copies(spark, cell, asking):
+    """All that five-word Jaccard 0.8 joins, in full cells too; rows that share a key stand for their texts."""
+    rng, rows = random.Random(11), []
+    for base in range(6):
+        words = prose(60 + 20 * base, 700 + base).split()
+        for copy in range(14):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), rng.choice([0, 1, 1, 2, 3, 4])):
+                changed[at] = "other"
+            rows.append((base * 20 + copy, " ".join(changed)))
+    line = prose(30, 720)
+    rows += [(200 + i, line + " " + prose(rng.randint(0, 12), 730 + i)) for i in range(12)]
+    rows += [(300, None), (301, ""), (302, "A b"), (303, "a  B"), (304, "b a"), (None, prose(40, 750)), (None, prose(40, 751)), (305, prose(40, 751))]
+    rows += [(3, prose(50, 752)), (306, prose(50, 752) + " x"), rows[5], rows[5]]
+    low = jaccard_components([t for _, t in rows])
+    kept = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), cell=cell, asking=asking).collect()
+    best = {c: min((k is None, k or 0) for (k, _), v in zip(rows, low) if v == c) for c in low}
+    of = {(k, t): c for (k, t), c in zip(rows, low)}
+    assert len(kept) == len(best) and sorted(of[tuple(r)] for r in kept) == sorted(best)
+    assert all((r.doc_id is None, r.doc_id or 0) == best[of[tuple(r)]] for r in kept)
+
+
 def bench_table(spark):
     return spark.createDataFrame([(1, prose(40, 900)), (2, prose(18, 901)), (3, None), (None, prose(60, 902)), (4, "too short")], "item_id long, text string")
 
