@@ -392,6 +392,17 @@ def test_leaks(spark, none):
     assert decontamination.leaks(coded, decontamination.build(coded, bench.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("words, first, length", [(50, 5, 26), (40, 5, 25), (64, 18, 22), (70, 31, 20)])
+def test_quotes_between_passages_leak(spark, words, first, length):
+    """Verbatim quotes leak wherever in the item they start."""
+    item = prose(words, 950 + words)
+    quote = " ".join(item.split()[first : first + length])
+    rows = [(i, prose(200, 2000 + i)) for i in range(60)] + [(100 + at, prose(40 + at, 960 + at) + " " + quote + " " + prose(50, 980 + at)) for at in range(12)]
+    coded = decontamination.coded(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = decontamination.build(coded, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in decontamination.leaks(coded, index).collect()} == {100 + at for at in range(12)}
+
+
 def test_common_length():
     rng = random.Random(1)
     for _ in range(50):
