@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,15 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: text rows may be megabytes each. Changes the session's setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in tests) a temporary folder is set instead.
+    Only in local mode, where all is one machine, a temporary folder is set where none is named; on a
+    cluster each executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -35,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         context.setCheckpointDir(found)
     return found
@@ -56,30 +55,49 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: Spark bounds a batch's bytes, this what is made of it at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` of ``fn(batch) -> dict of columns`` over bounded batches."""
-    bounded_batches(df.sparkSession)
+    """``mapInArrow`` of ``fn(batch) -> dict of columns`` over small batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(batch))
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(fn(batch))
 
     return df.mapInArrow(run, schema)
 
 
+def counted_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key; n: how many of ``rows`` hold it, about) on ``key``.
+
+    Keys of a thousandth of all ``total`` rows or more - a thousand at most - are joined by broadcast, so
+    that no task gets all rows of one key; the others by shuffle. So few rows that one task takes them
+    anyhow are joined plainly.
+    """
+    if total <= 20_000:
+        return rows.join(table, key)
+    least = max(200, total // 1000)
+    hot = F.broadcast(table.where(F.col("n") > least))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= least), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def kept_rows(docs: DataFrame, text: str, accepts) -> DataFrame:
     """Rows of ``docs``, columns as they are, for whose texts ``accepts(list of texts)`` says true."""
     at = docs.columns.index(text)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots do not pass mapInArrow
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept = batch.filter(pa.array(accepts(batch.column(at).to_pylist()), pa.bool_()))
             if kept.num_rows:
                 yield kept
 
-    bounded_batches(docs.sparkSession)
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 

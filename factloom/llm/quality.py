@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, columns_of, map_batches, quoted, read, staged
+from .common import columns_of, map_batches, quoted, read, slices, staged
 
 BUCKETS = 1 << 18
 #: Labelled rows that fit the models, about (a hash sample).
@@ -188,16 +188,13 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     rows = docs.select(F.struct(*quoted(carry or docs.columns)).alias("row"), F.col(text).alias("t"), _share(F.col(key), F.col(text), F.lit(13)).alias("u"))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             texts, draws = columns_of(batch, "t", "u")
             margins = frozen.value.margins(texts)
             score, weight = margins.min(axis=1, initial=100.0), frozen.value.log_weight(margins)
             gumbel = -np.log(-np.log(np.array(draws) + 0.5 / (1 << 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(weight), pa.array(weight / TEMPERATURE + gumbel)], names=["row", "__score", "__log_weight", "__key"])
 
-    bounded_batches(docs.sparkSession)
     schema = StructType([StructField("row", rows.schema["row"].dataType), *[StructField(n, DoubleType()) for n in ("__score", "__log_weight", "__key")]])
     return rows.mapInArrow(run, schema)
 

@@ -10,7 +10,16 @@ A partition is probed by signatures: every print files its own partition value,
 value within the threshold. Cells are compared pair by pair while small. A cell too full for that
 takes an exact, linear way (radius 2 or less): every member files itself and its 64 one-bit
 neighbours, and all that file the same value - they are pairwise within two bits - link to the
-smallest. Components are found by label propagation between distinct prints.
+smallest. Components are found by star contraction between distinct prints.
+
+``deduplicated`` groups by a similarity instead (five-word Jaccard of 0.8 or more). One print of a whole
+text cannot carry that: such pairs differ in up to some 18 of 64 bits, and a pigeonhole of that radius
+makes candidates of several hundredths of all pairs. A text's print is therefore widened to ``BLOCKS``
+prints of 64 bits, each the SimHash of a small sample of its shingles: the smallest ``SAMPLE`` hashes of
+a sixteenth of the hash space. All bits of such a block are correlated: they agree together where the
+samples do, and like chance otherwise. So the pigeonhole's partitions are the blocks, threshold 0 in each:
+two texts of similarity s agree in a block with probability of about s ** SAMPLE or more, which at 0.8 misses
+one pair in six hundred. Candidates are verified by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -20,12 +29,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_batches, quoted, read, staged
+from .common import columns_of, counted_join, map_batches, quoted, read, staged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: Words of a shingle, and least Jaccard similarity, where rows are grouped by similarity.
+WIDE, SIMILARITY = 5, 0.8
+#: Blocks of a wide print, and shingles that a block samples.
+BLOCK_BITS, SAMPLE = 4, 5
+BLOCKS = 1 << BLOCK_BITS
+#: Nodes, about, that each cell compares with all its others in the first round.
+ASKING = 3
+#: Bits in which whole prints of a pair may differ: at similarity 0.8 ten are usual, with a deviation below three.
+FAR = 21
 #: Members of a cell that are compared pair by pair; fuller cells take the linear way.
 CELL = 64
 _MASK = (1 << 64) - 1
@@ -56,7 +74,7 @@ def fingerprints(texts: list[str | None], k: int = SHINGLE) -> list[int]:
 
 
 def majority(hashes: list[int]) -> int:
-    if not hashes:
+    if not len(hashes):
         return 0
     votes = np.zeros(64, dtype=np.int64)
     data = np.array(hashes, dtype=np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -192,16 +210,20 @@ def links_between(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) ->
         mask = F.lit(_mask(bits))
         flips = [_mask(c) for x in range(1, t + 1) for c in combinations(bits, x)]
         own = prints.select("print", F.col("print").bitwiseAND(mask).alias("cell"))
-        filed = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) <= cell, F.collect_list("print")).alias("members"))
+        # cells are counted first: only the members of small ones are ever gathered
+        sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.lit(True) if flips else F.col("n") > 1)
+        filed = counted_join(own, sizes, "cell", n)
+        members = filed.where(F.col("n") <= cell).groupBy("cell").agg(F.collect_list("print").alias("members"))
         if flips:
             asks = own.select("print", F.explode(F.array(*[F.col("cell").bitwiseXOR(F.lit(x)) for x in [0, *flips]])).alias("cell"))
+            asks = counted_join(asks, sizes, "cell", n)
         else:
-            asks = own
-        # probe: the asking print meets the members of small cells; the larger print of a pair may ask
-        met = asks.join(filed.where("n > 1" if not flips else "n > 0").where(F.col("members").isNotNull()), "cell").select("print", F.explode("members").alias("other"))
+            asks = filed
+        # probe: the asking print meets the members of small cells
+        met = asks.where(F.col("n") <= cell).join(members, "cell").select("print", F.explode("members").alias("other"))
         near = met.where((F.col("print") != F.col("other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius))
         near = near.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b"))
-        full = asks.join(filed.where(F.col("n") > cell).select("cell"), "cell", "left_semi").select("print")
+        full = asks.where(F.col("n") > cell).select("print")
         found = near if found is None else found.unionByName(near)
         crowded = full if crowded is None else crowded.unionByName(full)
     # a print takes the linear way once, however many of its cells are full
@@ -222,32 +244,32 @@ def components(nodes: DataFrame, links: DataFrame, value: str = "low", rounds: i
 
     Alternating star contraction: each round links all neighbours of a node, and the node, to the
     smallest of them, until nothing changes. A round is a shuffle of at most as many rows as there
-    are links; every result is written to the shared folder.
+    are links; every result is written to the shared folder. Hubs are joined by broadcast.
     """
     links = staged(links, "links")
-    if links.isEmpty():
+    if not (many := links.count()):
         return nodes.select("print", F.col(value).alias("component"))
-    count = None
+    state = None
     for _ in range(rounds):
-        large = _stars(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger_only=True)
-        small = staged(_stars(large.select(F.col("b").alias("a"), F.col("a").alias("b")), larger_only=False), "links")
+        large = _stars(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * many, larger_only=True)
+        small = staged(_stars(large.select(F.col("b").alias("a"), F.col("a").alias("b")), many, larger_only=False), "links")
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         links = small
-        if now == count:
+        if now == state:
             break
-        count = now
+        state, many = now, now[0]
     else:
         raise RuntimeError("components did not settle")
-    root = nodes.join(links.select(F.col("b").alias("print"), "a"), "print", "left").withColumn("root", F.coalesce("a", "print"))
-    lows = root.groupBy("root").agg(F.min(value).alias("component"))
-    return root.select("print", "root").join(lows, "root").select("print", "component")
+    root = nodes.join(links.select(F.col("b").alias("print"), "a"), "print", "left").select("print", value, F.coalesce("a", "print").alias("root"))
+    lows = root.groupBy("root").agg(F.min(value).alias("component"), F.count(F.lit(1)).alias("n"))
+    return counted_join(root.select("print", "root"), lows, "root", many).select("print", "component")
 
 
-def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
+def _stars(edges: DataFrame, many: int, larger_only: bool) -> DataFrame:
     """For each a with neighbours b, m = min(a, neighbours): links (m, b) of larger neighbours b > a,
     or of all neighbours and a itself."""
-    low = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = edges.join(low, "a")
+    low = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = counted_join(edges, low, "a", many)
     if larger_only:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b")
     else:
@@ -263,46 +285,168 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     fingerprint zero and link like any other; repeated rows give repeated rows; an empty table none.
     """
     rows = staged(with_fingerprint(docs, key=key, text=text, shingle=shingle), "prints")
-    nodes = staged(rows.groupBy("print").agg(F.min(key).alias("low")), "nodes")
-    known = components(nodes, links_between(nodes.select("print"), radius))
-    return rows.join(known, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    nodes = staged(rows.groupBy("print").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
+    known = components(nodes, links_between(nodes.select("print"), radius)).join(nodes.select("print", "n"), "print")
+    # a print of very many rows - no text, or one text copied often - meets its component by broadcast
+    return counted_join(rows, known, "print", rows.count()).select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def row_key(key: str, text: str) -> F.Column:
-    """What tells rows apart: the key, which may be null or repeated, and the text."""
-    return F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.xxhash64(key, text).alias("hash"))
+# --- near duplicates by similarity -----------------------------------------------------------------
 
 
-def one_of_each(docs: DataFrame, members: DataFrame, *, key: str, text: str) -> DataFrame:
-    """Rows of ``docs``, columns as they are, one of each component: the first by ``row_key``, rows
-    without key last. members: own (``row_key``) and component of every row."""
-    own, nth = "__factloom_own", "__factloom_nth"
-    keep = members.groupBy("component").agg(F.min("own").alias("own")).select(F.col("own.hash").alias("h"), F.col("own.key").alias("k"))
-    rows = docs.withColumn(own, F.xxhash64(key, text)).alias("rows")
-    found = rows.join(keep.alias("keep"), (F.col(f"rows.{own}") == F.col("keep.h")) & F.col(f"rows.`{key}`").eqNullSafe(F.col("keep.k")), "left_semi")
-    # rows that repeat key and text
-    first = Window.partitionBy(own, key).orderBy(own)
-    return found.withColumn(nth, F.row_number().over(first)).where(f"{nth} = 1").select(*quoted(docs.columns))
+_words: dict[bytes, int] = {}
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Rows of ``docs``, columns as they are, one of each component: that with the smallest key
-    (of rows that repeat a key, one). Rows without key stand for themselves: one stays of a component
-    that has no other."""
-    plain = docs.select(row_key(key, text).alias("own"), F.col(text).alias("t"))
+def _word(word: bytes) -> int:
+    if (found := _words.get(word)) is None:
+        found = xxhash.xxh64_intdigest(word, SEED)
+        if len(_words) > 400_000:
+            _words.clear()
+        if len(word) <= 40:
+            _words[word] = found
+    return found
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of five-word shingles, sorted; of a text up to five words the one of all; none without words."""
+    words = words_of(text or "")
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    codes = np.fromiter(map(_word, words), dtype=np.uint64, count=len(words))
+    k = min(WIDE, len(words))
+    out = np.full(len(words) - k + 1, k, dtype=np.uint64)
+    for j in range(k):  # mixed word by word, so that their order counts
+        out = (out ^ codes[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def block_prints(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of each block's sample, told apart by block; blocks without shingles have none."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    block = (shingles >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+    first = np.searchsorted(block, np.arange(BLOCKS))
+    chosen = np.arange(len(block)) - first[block] < SAMPLE
+    at, taken = block[chosen], shingles[chosen]
+    bits = np.unpackbits(taken.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    present, starts = np.unique(at, return_index=True)
+    votes = np.add.reduceat(bits, starts, axis=0)
+    sizes = np.diff(np.append(starts, len(at)))[:, None]
+    prints = np.packbits(votes * 2 > sizes, axis=1).view(">u8").ravel().astype(np.uint64)
+    return (prints ^ (present.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def row_key(docs: DataFrame, key: str, text: str) -> F.Column:
+    """What tells rows apart: the key, which may be null or repeated, the text, and the whole row."""
+    return F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.xxhash64(*quoted(docs.columns)).alias("row"))
+
+
+def wide_prints(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """own (``row_key``), node (a hash of the shingle set), size, print, blocks and the set as 32-bit
+    numbers, of every row, staged."""
+    rows = docs.select(row_key(docs, key, text).alias("own"), F.col(text).alias("t"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t) for t in columns_of(batch, "t")[0]]
+        return {
+            "own": batch.column(0),
+            "node": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
+            "size": pa.array(map(len, sets), pa.int32()),
+            "print": pa.array([signed(majority(s)) for s in sets], pa.int64()),
+            "blocks": pa.array(map(block_prints, sets), pa.list_(pa.int64())),
+            "set": pa.array([(s >> np.uint64(32 - BLOCK_BITS)).astype(np.uint32).tobytes() for s in sets], pa.binary()),
+        }
+
+    return staged(map_batches(rows, run, f"own {rows.schema['own'].dataType.simpleString()}, node long, size int, print long, blocks array<long>, set binary"), "shingles")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``SIMILARITY`` or more, staged."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"own": batch.column(0), "print": pa.array([signed(p) for p in fingerprints(columns_of(batch, "t")[0], shingle)], pa.int64())}
+        found = []
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
+            shared = len(np.intersect1d(x, y))
+            if shared >= SIMILARITY * (len(x) + len(y) - shared):
+                found.append(i)
+        kept = batch.take(pa.array(found, pa.int32()))
+        return {"a": kept.column(0), "b": kept.column(1)}
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return staged(map_batches(both, run, "a long, b long"), "links")
+
+
+def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> DataFrame:
+    """Links (a, b): their components are those of all verified pairs that share a block.
 
-    rows = staged(map_batches(plain, run, f"own {plain.schema['own'].dataType.simpleString()}, print long"), "prints")
-    nodes = staged(rows.select("print").distinct(), "nodes")
-    known = components(nodes, links_between(nodes, radius), "print")
-    found = one_of_each(docs, rows.join(known, "print"), key=key, text=text)
-    nth = "__factloom_nth"
-    first = Window.partitionBy(key).orderBy(text)
-    named = found.where(F.col(key).isNotNull()).withColumn(nth, F.row_number().over(first)).where(f"{nth} = 1")
-    return named.select(*quoted(docs.columns)).unionByName(found.where(F.col(key).isNull()))
+    In rounds, some nodes of each cell (a block's print) are compared with all its others; a cell whose
+    nodes are known to be joined is done, others ask again with eight times as many of those outside
+    of the cell's largest component. At the end every pair of a cell is compared or known to be joined.
+    """
+    # prints this far apart, or sizes, cannot belong to a pair of that similarity (beyond chance of 1 in 10,000)
+    fits = (F.least("size", "other") >= SIMILARITY * F.greatest("size", "other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("there"))) <= FAR)
+    filed = nodes.select("node", "size", "print", F.explode("blocks").alias("cell"))
+    cells = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = staged(counted_join(filed, cells, "cell", nodes.count()).drop("n"), "cells")
+    inside = staged(members.select(F.col("node").alias("print")).distinct(), "nodes")
+    wanted = nodes.join(inside.withColumnRenamed("print", "node"), "node", "left_semi").select("own")
+    # one row of each node that has a candidate; rows are found by what tells them apart, so no node is a hot key
+    sets = staged(rows.join(wanted, "own", "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
+    many, links, asked = members.count(), None, None
+    for turn in range(64):
+        if links is None:
+            now = members.withColumn("component", F.col("node"))
+        else:
+            labels = components(inside, links, "print").withColumnRenamed("print", "node")
+            now = staged(members.join(labels, "node"), "cells")
+        parts = now.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = parts.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        open_ = counted_join(now, largest, "cell", many).drop("n")
+        outside = open_.where("component <> most").select("cell", "node", "size", "print", "component")
+        if asked is not None:
+            outside = outside.join(asked, ["cell", "node"], "left_anti")
+        outside = staged(outside, "outside")
+        if outside.isEmpty():
+            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        left = outside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+        ask = staged(counted_join(outside, left, "cell", many).where(chance * F.col("n") < asking), "asks")
+        asks = ask.select("cell", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("print").alias("there"), F.col("component").alias("own"))
+        met = open_.join(asks, "cell").where("component <> own").where(fits)
+        pairs = staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs")
+        new = alike(pairs, sets)
+        links = new if links is None else links.unionByName(new)
+        done = ask.select("cell", "node")
+        asked = done if asked is None else asked.unionByName(done)
+        asking *= 8
+    raise RuntimeError("cells did not settle")
+
+
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", asking: int = ASKING) -> DataFrame:
+    """Rows of ``docs``, columns as they are, one of each group of near duplicates: that with the smallest
+    key, rows without key last.
+
+    Rows are told apart by key, text and all other columns, so that null and repeated keys do no harm: a
+    row whose text has no near duplicate always stays, and of rows that are equal altogether one does.
+    Null and wordless texts are copies of each other. An empty table gives none.
+    """
+    rows = wide_prints(docs, key=key, text=text)
+    nodes = staged(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print"), F.first("blocks").alias("blocks"), F.min("own").alias("own"), F.count(F.lit(1)).alias("n")), "nodes")
+    links = similar_links(nodes, rows, asking)
+    labels = components(nodes.select(F.col("node").alias("print")), links, "print").withColumnRenamed("print", "node")
+    best = nodes.select("node", "own").join(labels, "node").groupBy("component").agg(F.min("own").alias("own"))
+    keep = best.select(F.col("own.row").alias("__factloom_row"))
+    columns = quoted(docs.columns)
+    found = docs.withColumn("__factloom_row", F.xxhash64(*columns)).join(keep, "__factloom_row", "left_semi")
+    # rows equal altogether: one stays; equal ones meet on the way, before the shuffle
+    once = found.groupBy("__factloom_row", F.xxhash64(F.lit(1), *columns)).agg(F.first(F.struct(*columns)).alias("__factloom_it"))
+    return once.select(*[F.col("__factloom_it")[c].alias(c) for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document: ``near_duplicates`` at its production parameters."""
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, shared_dir
+from .common import read, shared_dir
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_BYTES = 1000
@@ -147,8 +147,6 @@ def parsed(content: bytes) -> Iterator[tuple]:
 
 def read_archives(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFrame:
     """Records of the archives under ``path``; responses are checked against digest and length."""
-    bounded_batches(spark, 1)
-
     def rows(batches):
         for batch in batches:
             for content in batch.column(0):
