@@ -14,9 +14,13 @@ def _schema(columns: str) -> T.StructType:
 
 
 # fixed values
-ATOM_TYPES = ("invariant", "decision", "convention", "glossary", "dependency", "runtime", "build_recipe", "schema_fact", "owner")
-DECISION_STATUSES = ("OPEN", "CLOSED", "PROVISIONAL")
+ATOM_TYPES = ("invariant", "schema_fact", "decision", "convention", "dependency", "owner", "runtime", "build_recipe", "glossary")
+DECISION_STATUSES = ("OPEN", "CLOSED", "DEFERRED")
 DECISION_CLASSES = ("constraint", "change")
+SOURCE_KINDS = ("commit", "transcript", "schema_snapshot", "sentry_event", "screenshot", "readme", "manifest", "llm_extract", "manual")
+LIVENESS_KINDS = ("regex", "ast", "sql", "none")
+TIERS = ("module", "file", "symbol")
+EDGE_SOURCES = ("shared_ref", "embed_sim", "commit_couple", "llm_extract", "git_blame", "manual", "schema_diff")
 NATURAL_SOURCES = ("commit", "schema_snapshot", "manifest")
 RESOLUTIONS = (10, 50, 250)
 SYMMETRIC_KINDS = ("CONTRADICTS", "CO_CHANGED", "MIRRORS")
@@ -27,7 +31,11 @@ KIND_WEIGHTS = {
 }
 UNKNOWN_KIND_WEIGHT = 0.3
 EDGE_STATUS_RANK = {"rejected": 3, "live": 2, "suggested": 1}
-LIVENESS_RANK = {"ast": 4, "regex": 3, "sql": 2, "none": 1}
+LIVENESS_RANK = {"ast": 3, "regex": 2, "sql": 1, "none": 0}
+ROUTES = {"navigational": (3, 10), "semantic": (5, 50), "contradictory": (7, 50), "implementation": (5, 50)}
+TURN_TOKENS = 3000
+HOOK_EVENTS = ("session-start", "prompt", "post-tool", "stop", "pre-compact")
+EPISODIC_EVENTS = ("pre-compact",)
 
 ATOMS = _schema(
     "id string, type string, topic_key string, decision_status string, decision_class string, tier string, source_kind string, "
@@ -44,4 +52,7 @@ CANDIDATES = _schema("fingerprint string, text string, proposed_type string, sco
 HEARTBEAT = _schema("event string, last_invoked_at string, last_outcome string, invocations int")
 REPO_STATE = _schema("repo_id string, root_path string, last_indexed_sha string, last_indexed_at long, last_branch string, last_atoms_skipped int, last_ingest_notes array<string>")
 
-TABLES = {"atoms": ATOMS, "atom_summaries": SUMMARIES, "edges": EDGES, "edge_evidence": EVIDENCE, "atom_vectors": VECTORS, "retrieval_log": RETRIEVAL_LOG, "candidates": CANDIDATES, "hook_heartbeat": HEARTBEAT, "repo_state": REPO_STATE}
+SESSION_STATE = _schema("session_id string, started_at long, ended_at long, ended_reason string, context_pct_end double, handoff_path string, branch string, last_commit_sha string")
+SCHEMA_VERSION_TABLE = _schema("version int, applied_at long")
+
+TABLES = {"atoms": ATOMS, "atom_summaries": SUMMARIES, "edges": EDGES, "edge_evidence": EVIDENCE, "atom_vectors": VECTORS, "retrieval_log": RETRIEVAL_LOG, "candidates": CANDIDATES, "hook_heartbeat": HEARTBEAT, "repo_state": REPO_STATE, "session_state": SESSION_STATE, "schema_version": SCHEMA_VERSION_TABLE}

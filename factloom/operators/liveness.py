@@ -68,11 +68,56 @@ def at_retrieval(state, last_ok, confirm_by, now: int, fresh: int = 3600):
     return F.when(last_ok.isNotNull() & (now - last_ok < fresh), TRUSTED).when((state == NONE) & (confirm_by < now), UNCONFIRMED).otherwise(state)
 
 
+def at_emission(atoms: DataFrame, files: DataFrame, symbols: DataFrame | None, *, now: int, fresh: int = 3600) -> DataFrame:
+    """``state`` of atoms about to be shown: none without a predicate, trusted where one passed less than
+    ``fresh`` seconds ago, else what the check says now."""
+    kind = F.coalesce("liveness_kind", F.lit("none"))
+    trusted = (kind != "none") & F.coalesce(now - F.col("liveness_last_ok") < fresh, F.lit(False))
+    found = checked(atoms, files, symbols, now=now)
+    before = atoms.select("id", trusted.alias("__trusted"))
+    return found.join(before, "id").withColumn("state", F.when(F.col("__trusted"), TRUSTED).otherwise(F.col("state"))).drop("__trusted")
+
+
+def with_horizon(hits: DataFrame, now: int) -> DataFrame:
+    """``unconfirmed`` in place of ``none`` past the horizon of confirmation."""
+    late = (F.col("state") == NONE) & F.coalesce(F.col("confirm_by") < now, F.lit(False))
+    return hits.withColumn("state", F.when(late, UNCONFIRMED).otherwise(F.col("state")))
+
+
 def emitted(ranked: DataFrame, top: int) -> DataFrame:
     """The best ``top`` hits that did not fail: the next best takes a failed one's place."""
     return ranked.where((F.col("state") != FAILED) & (F.col("score") > 0)).orderBy(F.desc("score"), F.desc("id")).limit(top)
 
 
+def swept(atoms: DataFrame, files: DataFrame, symbols: DataFrame | None = None, *, now: int, older: int = 86_400, batch: int = 50, most: int = 200) -> tuple[DataFrame, int]:
+    """(atoms with new liveness_last_ok, batches run): stale predicates re-checked stalest first, a batch at a
+    time, until none is left, a batch verifies nothing, or ``most`` batches ran."""
+    from .stage import cut
+    from .temporal import stale
+
+    runs, tried = 0, None
+    while runs < most:
+        due = atoms.where("valid_to is null and not archived and liveness_kind is not null and liveness_kind <> 'none'")
+        due = due if tried is None else due.join(tried, "id", "left_anti")
+        take = cut(stale(due, now - older, limit=batch))
+        if take.isEmpty():
+            break
+        state = cut(checked(take, files, symbols, now=now).select("id", "state"))
+        runs += 1
+        passed = state.where(F.col("state") == VERIFIED).select("id", F.lit(now).cast("long").alias("__ok"))
+        atoms = cut(atoms.join(passed, "id", "left").withColumn("liveness_last_ok", F.coalesce("__ok", "liveness_last_ok")).drop("__ok").select(*atoms.columns))
+        tried = state.select("id") if tried is None else tried.unionByName(state.select("id"))
+        if passed.isEmpty():
+            break
+    return atoms, runs
+
+
+def watched(atoms: DataFrame, files: DataFrame, paths: DataFrame, symbols: DataFrame | None = None, *, now: int) -> DataFrame:
+    """id, topic_key, type, target, state of the live atoms with a predicate whose target or source is one of the paths."""
+    hit = touching(atoms.where("liveness_kind is not null and liveness_kind <> 'none' and not archived"), paths)
+    return checked(hit, files, symbols, now=now).select("id", "topic_key", "type", F.col("liveness_target").alias("target"), "state")
+
+
 def touching(atoms: DataFrame, paths: DataFrame) -> DataFrame:
     """Live atoms whose target or source is one of the paths."""
     both = paths.select("path").distinct()

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()``: the copy is in the shared folder, so a lost executor loses nothing."""
+    """``checkpoint()``: the copy is in the shared folder, so a lost executor loses nothing.
+
+    The folder is that of ``spark.checkpoint.dir``; only in local mode a temporary one stands in for it.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint(eager=True)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDERINGS = ("asserted_at", "valid_from", "confidence", "topic_key", "created_at", "updated_at")
+from ..model import ATOM_TYPES, DECISION_CLASSES, DECISION_STATUSES, LIVENESS_KINDS, NATURAL_SOURCES, SOURCE_KINDS, TIERS
+
+# fixed values: orders that a query may ask for
+ORDERINGS = ("asserted_at DESC", "asserted_at ASC", "valid_from DESC", "valid_from ASC", "confidence DESC", "type ASC")
 
 
 def versioned(claims: DataFrame, *, topic: list[str], order: list[str], claim: str, at: str, ident: str) -> DataFrame:
@@ -20,7 +23,8 @@ def versioned(claims: DataFrame, *, topic: list[str], order: list[str], claim: s
 
 
 def assert_facts(atoms: DataFrame, arriving: DataFrame) -> DataFrame:
-    """Arriving atoms over stored ones (columns of ``atoms``): closes, keeps or adds versions per topic."""
+    """Arriving atoms over stored ones (columns of ``atoms``): closes, keeps or adds versions per topic. What
+    ``validated`` rejects should be left out before."""
     keys = ["type", "topic_key", "workspace_id"]
     every = atoms.withColumn("__new", F.lit(0)).unionByName(arriving.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     live = every.where(F.col("valid_to").isNull())
@@ -30,7 +34,7 @@ def assert_facts(atoms: DataFrame, arriving: DataFrame) -> DataFrame:
     return closed.unionByName(every.where(F.col("valid_to").isNotNull())).drop("__new")
 
 
-def contradictions(versions: DataFrame, *, ident: str = "id", source: str = "source_kind", natural: tuple[str, ...] = ()) -> DataFrame:
+def contradictions(versions: DataFrame, *, ident: str = "id", source: str = "source_kind", natural: tuple[str, ...] = NATURAL_SOURCES) -> DataFrame:
     """CONTRADICTS edges from each closed version to its successor, unless its source diverges naturally."""
     closed = versions.where(F.col("superseded_by").isNotNull() & ~F.coalesce(F.col(source).isin(*natural), F.lit(False)))
     return closed.select(F.least(ident, "superseded_by").alias("src_id"), F.greatest(ident, "superseded_by").alias("dst_id"), F.lit("CONTRADICTS").alias("kind"))
@@ -49,16 +53,79 @@ def as_of(versions: DataFrame, at: int) -> DataFrame:
     return versions.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-def query_atoms(atoms: DataFrame, *, where: dict | None = None, order_by: str = "asserted_at", ident: str = "id", limit: int = 100, live_only: bool = True) -> DataFrame:
-    """Filtered, ordered, limited; the order is from an allow-list and made total by the id."""
+def atom_error() -> Column:
+    """Why an atom is not accepted, or null: confidence outside of 0 to 1, a value that no list has, a decision
+    without status, a status without decision."""
+    outside = F.col("confidence").isNull() | ~F.col("confidence").between(0.0, 1.0)
+    known = lambda c, values: F.col(c).isNull() | F.col(c).isin(*values)
+    decision = F.col("type") == "decision"
+    return (
+        F.when(F.col("type").isNull() | ~F.col("type").isin(*ATOM_TYPES), "unknown type")
+        .when(outside, "confidence outside [0, 1]")
+        .when(decision & F.col("decision_status").isNull(), "decision without status")
+        .when(~decision & (F.col("decision_status").isNotNull() | F.col("decision_class").isNotNull()), "status of no decision")
+        .when(~known("decision_status", DECISION_STATUSES), "unknown status")
+        .when(~known("decision_class", DECISION_CLASSES), "unknown class")
+        .when(~known("source_kind", SOURCE_KINDS), "unknown source")
+        .when(~known("liveness_kind", LIVENESS_KINDS), "unknown predicate")
+        .when(~known("tier", TIERS), "unknown tier")
+    )
+
+
+def validated(arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with ``error``) of arriving atoms. A decision without class is a change if it comes
+    from a commit, else a constraint."""
+    derived = F.when(F.col("source_kind") == "commit", "change").otherwise("constraint")
+    rows = arriving.withColumn("decision_class", F.when(F.col("type") == "decision", F.coalesce("decision_class", derived)).otherwise(F.col("decision_class"))).withColumn("error", atom_error())
+    return rows.where("error is null").drop("error"), rows.where("error is not null")
+
+
+def superseded(atoms: DataFrame, pairs: DataFrame, now: int) -> DataFrame:
+    """Atoms closed by hand: pairs (old, new) of ids that both exist; a close that is there already stays."""
+    ids = atoms.select("id").distinct()
+    known = pairs.join(ids.withColumnRenamed("id", "old"), "old", "left_semi").join(ids.withColumnRenamed("id", "new"), "new", "left_semi")
+    one = known.groupBy(F.col("old").alias("id")).agg(F.min("new").alias("__new"))
+    joined = atoms.join(one, "id", "left")
+    hit = F.col("__new").isNotNull()
+    return joined.withColumns({"valid_to": F.when(hit, F.coalesce("valid_to", F.lit(now))).otherwise(F.col("valid_to")), "superseded_by": F.when(hit, F.col("__new")).otherwise(F.col("superseded_by"))}).select(*atoms.columns)
+
+
+def missing(pairs: DataFrame, atoms: DataFrame, columns: tuple[str, ...] = ("old", "new")) -> DataFrame:
+    """id of what is named but does not exist."""
+    named = pairs.select(F.explode(F.array(*columns)).alias("id")).distinct()
+    return named.join(atoms.select("id"), "id", "left_anti")
+
+
+def history(atoms: DataFrame, topic: dict, order: tuple[str, ...] = ("valid_from", "asserted_at")) -> DataFrame:
+    """All versions of a topic (column -> value), oldest first."""
+    found = atoms
+    for name, value in topic.items():
+        found = found.where(F.col(name) == value)
+    return found.orderBy(*order)
+
+
+def topics_in(atoms: DataFrame, kind: str | None = None, workspace: str | None = None, topic: str = "topic_key") -> DataFrame:
+    """Topics that have a live atom, of a type or workspace if named, ordered."""
+    rows = live(atoms)
+    rows = rows.where(F.col("type") == kind) if kind is not None else rows
+    rows = rows.where(F.col("workspace_id") == workspace) if workspace is not None else rows
+    return rows.select(topic).distinct().orderBy(topic)
+
+
+def query_atoms(atoms: DataFrame, *, where: dict | None = None, order_by: str = "asserted_at DESC", ident: str = "id", limit: int = 50, live_only: bool = True, include_archived: bool = False) -> DataFrame:
+    """Filtered, ordered, limited; the order is from an allow-list and made total by the id. decision_class
+    matches its default, constraint, too."""
     if order_by not in ORDERINGS:
-        raise ValueError(f"order_by must be one of {ORDERINGS}")
-    if not 1 <= limit <= 10_000:
-        raise ValueError("limit must be from 1 to 10000")
-    found = live(atoms) if live_only else atoms
+        raise ValueError(f"order_by must be one of {sorted(ORDERINGS)}")
+    if not isinstance(limit, int) or not 1 <= limit <= 10_000:
+        raise ValueError("limit must be in [1, 10000]")
+    found = atoms.where("valid_to is null") if live_only else atoms
+    if not include_archived and "archived" in atoms.columns:
+        found = found.where(~F.col("archived"))
     for name, value in (where or {}).items():
-        found = found.where(F.col(name) == value)
-    return found.orderBy(F.desc(order_by), F.asc(ident)).limit(limit)
+        found = found.where((F.coalesce(name, F.lit("constraint")) if name == "decision_class" else F.col(name)) == value)
+    column, direction = order_by.split()
+    return found.orderBy(F.desc(column) if direction == "DESC" else F.asc(column), F.asc(ident)).limit(limit)
 
 
 def reconciled(atoms: DataFrame, *, topic: list[str], ident: str = "id") -> DataFrame:
@@ -83,4 +150,5 @@ def stale(atoms: DataFrame, cutoff: int, *, last_ok: str = "liveness_last_ok", i
 
 
 def unconfirmed(atoms: DataFrame, now: int) -> DataFrame:
+    """Live atoms past the horizon of their confirmation."""
     return live(atoms).where(F.col("confirm_by") < now)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import facts, graphs, registry, signals
+from . import facts, graphs, registry, signals, stores
 
 
 def queries() -> dict:
@@ -13,4 +13,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(registry.SQL)
 
 
-__all__ = ["facts", "graphs", "oracle_sql", "queries", "signals"]
+__all__ = ["facts", "graphs", "oracle_sql", "queries", "signals", "stores"]

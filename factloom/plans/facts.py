@@ -40,7 +40,7 @@ def constraints_view(t):
 
 @query(f"WITH {V} SELECT o_orderkey, o_orderstatus, valid_from, valid_to FROM v WHERE o_custkey = 7")
 def history_topic(t):
-    return versions(t).where("o_custkey = 7").select("o_orderkey", "o_orderstatus", "valid_from", "valid_to")
+    return temporal.history(versions(t), {"o_custkey": 7}, order=("valid_from", "o_orderkey")).select("o_orderkey", "o_orderstatus", "valid_from", "valid_to")
 
 
 @query(f"WITH {V} SELECT o_custkey, o_orderkey, o_orderstatus FROM v WHERE valid_from <= 852076800 AND (valid_to IS NULL OR valid_to > 852076800)")
@@ -50,7 +50,7 @@ def asof_snapshot(t):
 
 @query(f"WITH {V} SELECT o_custkey, o_orderkey, valid_from FROM v WHERE valid_to IS NULL AND o_orderstatus = 'O' ORDER BY valid_from DESC, o_orderkey LIMIT 50")
 def query_atoms_filter(t):
-    return temporal.query_atoms(versions(t), where={"o_orderstatus": "O"}, order_by="valid_from", ident="o_orderkey", limit=50).select("o_custkey", "o_orderkey", "valid_from")
+    return temporal.query_atoms(versions(t), where={"o_orderstatus": "O"}, order_by="valid_from DESC", ident="o_orderkey", limit=50).select("o_custkey", "o_orderkey", "valid_from")
 
 
 @query("""WITH n AS (SELECT o_custkey, o_orderkey, o_orderstatus, epoch_us(o_orderdate) // 1000000 AS valid_from FROM orders),
@@ -93,12 +93,6 @@ def census_by_type(t):
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("n_unknown"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P') AS covered, round(count(*) FILTER (WHERE o_orderstatus <> 'P') / count(*), 6) AS share FROM orders")
-def liveness_coverage(t):
-    covered = F.count_if(F.col("o_orderstatus") != "P")
-    return t.orders.agg(F.count(F.lit(1)).alias("n"), covered.alias("covered"), F.round(covered / F.count(F.lit(1)), 6).alias("share"))
-
-
 HALVES = """h AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, epoch_us(o_orderdate) // 1000000 AS t FROM orders WHERE o_orderkey % 3 <> 0
   UNION ALL SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, epoch_us(o_orderdate) // 1000000 FROM orders WHERE o_orderkey % 3 <> 1)"""
 
@@ -139,7 +133,7 @@ def merge_summaries(t):
 NORM = r"trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, 'glossary:' || substr(sha1('glossary' || chr(0) || source || chr(0) || {NORM}), 1, 12) AS atom_id FROM documents")
+@query(f"SELECT doc_id, 'glossary_' || substr(sha1('glossary' || chr(0) || source || chr(0) || {NORM}), 1, 12) AS atom_id FROM documents")
 def content_id(t):
     return t.documents.select("doc_id", X.content_id(F.lit("glossary"), F.col("source"), F.col("text")).alias("atom_id"))
 
@@ -154,11 +148,6 @@ def token_estimate(t):
     return t.documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT substr(sha1('a' || o_custkey), 11, 2) AS shard, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
-def shard_rows(t):
-    return t.orders.groupBy(F.substring(F.sha1(F.concat(F.lit("a"), F.col("o_custkey").cast("string")).cast("binary")), 11, 2).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
-
-
 @query("""SELECT o_orderkey, '{"_table":"atoms","id":"' || o_orderkey || '","status":"' || o_orderstatus || '","topic":"' || o_custkey || '"}' AS line FROM orders""")
 def export_rows(t):
     from ..sources.jsonl import rendered

@@ -52,19 +52,19 @@ g AS (SELECT symbol, count(*) AS n FROM s GROUP BY 1 HAVING count(*) BETWEEN 2 A
 SELECT x.p_partkey AS a, y.p_partkey AS b, round_even((0.8 - 0.4 * (n - 2) / 6.0)::DOUBLE, 4) AS weight FROM s x JOIN s y ON x.symbol = y.symbol AND x.p_partkey < y.p_partkey AND x.p_brand <> y.p_brand JOIN g ON g.symbol = x.symbol""")
 def mirror_pairs(t):
     symbols = t.part.select("p_partkey", F.concat_ws("|", "p_name", "p_type", F.col("p_size").cast("string")).alias("symbol"), "p_brand")
-    return discovery.mirrors(symbols, ident="p_partkey", symbol="symbol", repo="p_brand").withColumn("weight", F.col("weight").cast("double"))
+    return discovery.mirrors(symbols, ident="p_partkey", symbol="symbol", repo="p_brand").drop("symbol").withColumn("weight", F.col("weight").cast("double"))
 
 
 HREFS = """m AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[A-Za-z0-9]+)"', 1)) AS token FROM pages),
 f AS (SELECT page_id, regexp_extract(html, 'href="(/[A-Za-z0-9]+)"', 1) AS token FROM pages WHERE regexp_matches(html, 'href="(/[A-Za-z0-9]+)"'))"""
 
 
-@query(f"WITH {HREFS}, j AS (SELECT src, token, dst, row_number() OVER (PARTITION BY src, token ORDER BY dst) AS n FROM (SELECT DISTINCT m.page_id AS src, m.token, f.page_id AS dst FROM m JOIN f USING (token) WHERE m.page_id <> f.page_id)) SELECT src, token, dst FROM j WHERE n <= 8")
+@query(f"WITH {HREFS}, j AS (SELECT src, token, dst, own, row_number() OVER (PARTITION BY src, token ORDER BY dst) AS n FROM (SELECT DISTINCT m.page_id AS src, m.token, f.page_id AS dst, o.token AS own FROM m JOIN f USING (token) LEFT JOIN f o ON o.page_id = m.page_id)) SELECT src, min(token) AS token, dst FROM j WHERE n <= 8 AND src <> dst AND token IS DISTINCT FROM own GROUP BY src, dst")
 def path_references(t):
     pattern = 'href="(/[A-Za-z0-9]+)"'
-    mentions = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("token"))
-    declared = t.pages.select("page_id", F.regexp_extract("html", pattern, 1).alias("token")).where("token <> ''")
-    return discovery.references(mentions, declared, ident="page_id", token="token", target="page_id")
+    declared = t.pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", pattern, 1).alias("path"), F.lit("r").alias("repo_id")).where("path <> ''")
+    mentions = t.pages.select(F.col("page_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)))).alias("token"))
+    return discovery.path_references(mentions.join(declared, "id", "left"), declared)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS directory, o_custkey AS author, count(*) AS n, max(epoch_us(o_orderdate) // 1000000) AS valid_from FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -121,7 +121,12 @@ def graph_neighbors(t):
     return graph.neighbors(cut(edges(t)), "S1", 2).select("node", "depth", F.round("weight", 6).alias("weight"))
 
 
-@query()
+_STEPS = "".join(f""", p{k} AS MATERIALIZED (SELECT node, {k} AS depth, m.k AS via, m.s AS parent FROM (SELECT dst AS node, min({{'s': src, 'k': kind}}) AS m FROM adj JOIN p{k - 1} ON src = node GROUP BY dst)
+WHERE node NOT IN ({" UNION ALL ".join(f"SELECT node FROM p{x}" for x in range(k))}))""" for k in (1, 2, 3))
+PROVENANCE = f"WITH {EDGES}, p0 AS (SELECT * FROM (VALUES ('S1', 0, NULL::VARCHAR, NULL::VARCHAR), ('S2', 0, NULL, NULL)) v(node, depth, via, parent)){_STEPS}, every AS ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(4))})"
+
+
+@query(f"{PROVENANCE} SELECT node, depth, parent, CASE WHEN depth = 0 THEN 'seed' ELSE depth || '-hop via ' || via END AS trail FROM every")
 def provenance_depth(t):
     found = graph.provenance(adjacent(t), start(t), 3)
     return found.select("node", "depth", "parent", graph.trail(F.col("depth"), F.col("via")).alias("trail"))
@@ -145,19 +150,21 @@ FIRST = REACH + ", u AS MATERIALIZED (SELECT DISTINCT node FROM reach)" + _round
 
 @query(f"{FIRST} SELECT node, round(rank, 6) AS rank FROM r20")
 def ppr_rank(t):
-    return graph.pagerank(adjacent(t), start(t)).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(adjacent(t), start(t), tolerance=None).select("node", F.round("rank", 6).alias("rank"))
+
 
+#: Nations that the seeds do not reach within three hops exist only on small scales; regions are modules, nations children.
+DRILL = FIRST + """, hot AS MATERIALIZED (SELECT node FROM r20 WHERE node LIKE 'R%' AND rank > 0 ORDER BY rank DESC, node DESC LIMIT 3),
+added AS MATERIALIZED (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation WHERE 'R' || n_regionkey IN (SELECT node FROM hot)),
+more AS MATERIALIZED (SELECT src, dst, w FROM adj UNION ALL SELECT src, dst, 0.6 FROM added),
+zadj AS MATERIALIZED (SELECT src, dst, CASE WHEN src IN (SELECT node FROM hot) THEN w / sum(w) OVER (PARTITION BY src) ELSE w END AS w FROM more),
+zu AS MATERIALIZED (SELECT node FROM u UNION SELECT dst FROM added UNION SELECT dst FROM (SELECT z1.dst FROM zadj z0 JOIN zadj z1 ON z1.src = z0.dst WHERE z0.src IN ('S1', 'S2') UNION SELECT z2.dst FROM zadj z0 JOIN zadj z1 ON z1.src = z0.dst JOIN zadj z2 ON z2.src = z1.dst WHERE z0.src IN ('S1', 'S2')))""" + _rounds("z")
 
-@query()
+
+@query(f"{DRILL} SELECT node, round(rank, 6) AS rank FROM zr20")
 def ppr_drilldown(t):
     adj = adjacent(t)
-    rank = graph.pagerank(adj, start(t))
+    rank = cut(graph.pagerank(adj, start(t), tolerance=None))
     modules = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"))
     children = t.nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("dst"))
-    return graph.drilled(adj, rank, modules, children, start(t)).select("node", F.round("rank", 6).alias("rank"))
-
-
-@query(f"WITH {EDGES} SELECT n_name AS surface, count(*) AS owners, min(s_name) AS first_owner, count(*) > 4 AS blocked FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
-def plan_surfaces(t):
-    joined = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.col("n_name").alias("surface")).agg(F.count(F.lit(1)).alias("owners"), F.min("s_name").alias("first_owner"), (F.count(F.lit(1)) > 4).alias("blocked"))
+    return graph.drilled(adj, rank, modules, children, start(t), tolerance=None).select("node", F.round("rank", 6).alias("rank"))

@@ -15,10 +15,9 @@ NOW = 1_700_000_000
 
 
 class Tables:
-    """Tables of a data folder by attribute, read with the session's time zone at UTC."""
+    """Tables of a data folder by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -38,4 +37,5 @@ def query(sql: str | None = None):
 
 
 def seconds(column: str) -> Column:
-    return F.unix_seconds(F.col(column).cast("timestamp"))
+    """Epoch seconds of a time without zone, whatever the session's zone."""
+    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz")) / 1_000_000).cast("long")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import guard
 from ..functions import text as X
-from ..operators import near, retrieval
+from ..operators import candidates, near, planning, retrieval
 from .registry import query, seconds
 
 COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -68,8 +68,7 @@ def same_model_semi(t):
 
 @query("SELECT event_type, list_sort(list(value))[1 + CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT)] AS p95, list_sort(list(value))[1 + CAST(round_even(0.25 * (count(*) - 1), 0) AS BIGINT)] AS p25 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentile_nearest(t):
-    lists = t.events.where("value is not null").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return lists.select("event_type", retrieval.percentile_nearest(F.col("v"), 0.95).alias("p95"), retrieval.percentile_nearest(F.col("v"), 0.25).alias("p25"))
+    return retrieval.nearest_ranks(t.events, {"p95": 0.95, "p25": 0.25}, value="value", group=["event_type"]).drop("n")
 
 
 def _calibrate_sql(add: str) -> str:
@@ -97,44 +96,35 @@ def calibrate_floor_separable(t):
     return _calibrate(t, 500.0)
 
 
-@query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE value < 10) AS n_low, count(*) FILTER (WHERE value >= 100) AS n_high, round(max(value), 6) AS top FROM events GROUP BY user_id")
-def retrieval_quality(t):
-    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 10).alias("n_low"), F.count_if(F.col("value") >= 100).alias("n_high"), F.round(F.max("value"), 6).alias("top"))
-
-
-@query("SELECT event_type, user_id, max(epoch_us(ts) // 1000000) AS last_ts FROM events GROUP BY ALL ORDER BY last_ts DESC, event_type, user_id LIMIT 200")
-def genuine_queries(t):
-    return t.events.groupBy("event_type", "user_id").agg(F.max(seconds("ts")).alias("last_ts")).orderBy(F.desc("last_ts"), "event_type", "user_id").limit(200)
-
-
-@query("SELECT event_type AS event, count(*) AS invocations, max(epoch_us(ts) // 1000000) AS last_at, arg_max(user_id, {'t': ts, 'e': event_id}) AS last_user FROM events GROUP BY event_type")
+@query("SELECT event_type AS event, count(*) AS invocations, max(epoch_us(ts) // 1000000) AS last_at, arg_max(user_id, {'t': epoch_us(ts) // 1000000, 'e': event_id}) AS last_outcome FROM events GROUP BY event_type")
 def heartbeat_counts(t):
-    return t.events.groupBy(F.col("event_type").alias("event")).agg(F.count(F.lit(1)).alias("invocations"), F.max(seconds("ts")).alias("last_at"), F.max_by("user_id", F.struct("ts", "event_id")).alias("last_user"))
+    rows = t.events.select("event_type", "event_id", "user_id", seconds("ts").alias("at"))
+    return planning.heartbeats(rows, event="event_type", at="at", outcome="user_id", order=["event_id"])
 
 
-@query("WITH l AS (SELECT event_id, event_type, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events), b AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= 90000000 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY t, event_id) AS burst FROM l) SELECT event_type, CAST(burst AS BIGINT) AS burst, count(*) AS n FROM b GROUP BY ALL")
+@query("WITH l AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS t, lag(epoch_us(ts) // 1000000) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000000, event_id) AS before FROM events), b AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= 90 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY t, event_id) AS burst FROM l) SELECT event_type, CAST(burst AS BIGINT) AS burst, count(*) AS n FROM b GROUP BY ALL")
 def debounce_bursts(t):
-    along = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = t.events.select("event_id", "event_type", "ts", at.alias("at")).withColumn("before", F.lag("at").over(along))
-    opened = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") >= 90_000_000), 1).otherwise(0)
-    return rows.withColumn("burst", F.sum(opened).over(along)).groupBy("event_type", "burst").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.events.select("event_id", "event_type", seconds("ts").alias("at"))
+    return planning.debounced(rows, key=["event_type"], at="at", order=["event_id"]).groupBy("event_type", "burst").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, user_id, event_type FROM l WHERE before IS NULL OR before <> event_type")
 def housekeeping_changes(t):
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.withColumn("before", F.lag("event_type").over(along)).where("before is null or before <> event_type").select("event_id", "user_id", "event_type")
+    return planning.changes_of(t.events, key=["user_id"], signature="event_type", order=["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query("WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn FROM r WHERE n <= 3")
+@query("WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn FROM r WHERE n <= 40")
 def last_messages(t):
-    recent = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return t.conversations.where("role = 'user'").withColumn("n", F.row_number().over(recent)).where("n <= 3").select("conv_id", "turn")
+    return planning.recent(t.conversations.where("role = 'user'"), key=["conv_id"], order=["turn"]).select("conv_id", "turn")
+
+
+def _sql(pattern: str) -> str:
+    """A pattern as a literal of DuckDB, without regard to case."""
+    return "'(?i)" + pattern.replace("'", "''") + "'"
 
 
 def _when_sql(rules, value: int, default: str) -> str:
-    text = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{r[-1]}') THEN {r[value]!r}" for r in rules)
+    text = "CASE " + " ".join(f"WHEN regexp_matches(text, {_sql(r[-1])}) THEN {r[value]!r}" for r in rules)
     return f"{text} ELSE {default} END"
 
 
@@ -143,79 +133,79 @@ def prompt_classify(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", X.prompt_class(F.col("text")).alias("class"), X.prompt_confidence(F.col("text")).alias("confidence"))
 
 
-@query("SELECT conv_id, turn, CAST(CASE WHEN length(text) BETWEEN 25 AND 400 AND NOT ends_with(text, '?') THEN " + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN {w} ELSE 0 END" for _, w, p in X.SIGNALS) + " ELSE 0 END AS INTEGER) AS score FROM conversations")
+_HITS = [(f"regexp_matches(text, {_sql(p)})", w) for _, w, p in X.SIGNALS]
+_PENALTIES = f"""CASE WHEN regexp_matches(text, {_sql(X.IMPERATIVE)}) OR regexp_matches(text, {_sql(X.SPOKEN_IMPERATIVE)}) THEN -2 ELSE 0 END + CASE WHEN regexp_matches(text, {_sql(X.ADDRESSED)}) THEN -2 ELSE 0 END
++ CASE WHEN len(regexp_extract_all(text, {_sql(X.DEICTIC)})) >= 2 AND NOT {_HITS[0][0]} THEN -2 ELSE 0 END"""
+
+
+@query(f"SELECT conv_id, turn, CAST(CASE WHEN length(text) BETWEEN 25 AND 400 AND NOT regexp_matches(text, '\\?\\s*$') AND ({' OR '.join(h for h, _ in _HITS)}) THEN {' + '.join(f'CASE WHEN {h} THEN {w} ELSE 0 END' for h, w in _HITS)} + {_PENALTIES} ELSE 0 END AS INTEGER) AS score FROM conversations")
 def capture_score(t):
     return t.conversations.select("conv_id", "turn", X.capture_score(F.col("text")).alias("score"))
 
 
 @query()
 def capture_units(t):
-    rows = t.conversations.where("role = 'user'").where(~X.looks_like_document(F.col("text"))).select("conv_id", "turn", F.posexplode(X.units(F.col("text"))).alias("at", "unit"))
-    signals = X.capture_signals(F.col("unit"))
-    return rows.select("conv_id", "turn", "at", X.drop_reason(F.col("unit")).alias("dropped"), X.capture_score(F.col("unit")).alias("score"), X.proposed_type(signals).alias("proposed_type"))
+    rows = candidates.clauses(t.conversations.where("role = 'user'"), keep=["conv_id", "turn"])
+    return rows.select("conv_id", "turn", "at", "dropped", "score", X.proposed_type(F.col("signals")).alias("proposed_type"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents) SELECT doc_id, length(text) > 3000 OR (len(lines) >= 4 AND (len(list_filter(lines, lambda x: regexp_matches(x, '^\|.*\|$'))) > 0 OR len(list_filter(lines, lambda x: regexp_matches(x, '^(#{1,6} |[-*] |[0-9]+\. |> |```)'))) / len(lines) >= 0.3)) AS document FROM l""")
+@query()
+def captured_facts(t):
+    rows = t.conversations.where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return candidates.captured(rows, threshold=1).select("fingerprint", "score", "proposed_type", F.array_join("signals", ",").alias("signals"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C]'), lambda x: regexp_matches(x, '\\S')) AS lines FROM documents)
+SELECT doc_id, length(text) > 3000 OR (len(lines) >= 4 AND (regexp_matches(text, '{X.MARKDOWN_TABLE}') OR len(list_filter(lines, lambda x: regexp_matches(x, '{X.MARKDOWN_LINE}'))) / len(lines) >= 0.3)) AS document FROM l""")
 def document_shape(t):
     return t.documents.select("doc_id", X.looks_like_document(F.col("text")).alias("document"))
 
 
 @query()
 def guard_kinds(t):
-    return t.documents.select("doc_id", F.array_join(X.guard_kinds(F.col("text")), ",").alias("kinds")).where("kinds <> ''")
+    return t.documents.select("doc_id", F.array_join(guard.kinds(F.col("text")), ",").alias("kinds")).where("kinds <> ''")
 
 
 @query()
 def redact(t):
-    return t.documents.select("doc_id", F.md5(X.redacted(F.col("text")).cast("binary")).alias("redacted_md5"))
+    return t.documents.select("doc_id", F.md5(guard.redacted(F.col("text")).cast("binary")).alias("redacted_md5"))
 
 
-CREDENTIAL = r"""(?i)\b(password|passwd|secret|token|api_key|apikey)\b[ ]*[=:][ ]*["''][^"'' ]{8,}["'']"""
+CREDENTIAL = r"""(?i)\b(password|passwd|secret|token|api_key|apikey)\b[ ]*[=:][ ]*["'][^"' ]{8,}["']"""
+_CREDENTIAL_SQL = "'" + CREDENTIAL.replace("'", "''") + "'"
 
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{CREDENTIAL}')")
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {_CREDENTIAL_SQL})")
 def guard_credential_native(t):
-    return t.documents.where(F.col("text").rlike(dict(X.GUARD_PATTERNS)["credential-assignment"])).select("doc_id")
-
-
-@query(f"SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '{CREDENTIAL}'))")
-def guard_withhold(t):
-    bad = t.documents.where(F.col("text").rlike(dict(X.GUARD_PATTERNS)["credential-assignment"])).select("doc_id")
-    return t.labels.join(bad, "doc_id", "left_anti")
+    """Quoted credentials alone, as an expression: what a scan without Python can tell."""
+    return t.documents.where(F.col("text").rlike(CREDENTIAL)).select("doc_id")
 
 
-@query("""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS tokens FROM documents), x AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS w FROM s),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM c WHERE shared / (na + nb - shared) >= 0.6""")
+@query("""WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tokens FROM documents), c AS (SELECT tokens, min(doc_id) AS rep FROM s WHERE len(tokens) > 0 GROUP BY tokens),
+x AS (SELECT rep, len(tokens) AS n, unnest(tokens) AS w FROM c), p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.w = b.w AND a.rep < b.rep AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY 1, 2)
+SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.6 UNION ALL SELECT rep, doc_id, 1.0 FROM s JOIN c USING (tokens) WHERE doc_id <> rep""")
 def near_dup_jaccard(t):
+    """Pairs between representatives of equal token sets, and the members of each."""
     return near.similar_pairs(t.documents, ident="doc_id", text="text", least=0.6)
 
 
 @query()
 def queue_many_greedy(t):
-    rows = t.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return near.greedy(rows, ident="id", text="text", least=0.6)
+    return near.greedy(t.documents, ident="doc_id", text="text", least=0.6)
 
 
-@query("""WITH g AS (SELECT item_id, substr(lower(text), unnest(range(1, length(text) - 1)), 3) AS gram FROM benchmark),
-s AS (SELECT item_id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 384 AS slot, CASE WHEN CAST('0x' || substr(md5(gram), 9, 1) AS BIGINT) >= 8 THEN -1 ELSE 1 END AS sign FROM g),
-v AS (SELECT item_id, slot, sum(sign) AS raw FROM s GROUP BY 1, 2)
-SELECT item_id, slot, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)), 6) AS value FROM v""")
+@query("""WITH g AS (SELECT doc_id, substr(lower(text), unnest(range(1, length(text) - 1)), 3) AS gram FROM documents),
+s AS (SELECT doc_id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 384 AS slot, CASE WHEN CAST('0x' || substr(md5(gram), 9, 1) AS BIGINT) >= 8 THEN -1 ELSE 1 END AS sign FROM g),
+v AS (SELECT doc_id, slot, sum(sign) AS raw FROM s GROUP BY 1, 2)
+SELECT doc_id, slot, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS value FROM v""")
 def native_hash_embed(t):
     from ..functions.embed import hashed_grams
 
-    return hashed_grams(t.benchmark, ident="item_id", text="text")
+    return hashed_grams(t.documents, ident="doc_id", text="text")
 
 
 @query()
 def hash_embed_blake2s(t):
     from ..functions.embed import embed_rows
 
-    return embed_rows(t.benchmark, ident="item_id", text="text")
-
-
-@query()
-def doctor_report(t):
-    from ..operators.health import report
-
-    return report(t)
+    return embed_rows(t.documents, ident="doc_id", text="text")
