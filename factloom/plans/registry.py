@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stage import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,6 +16,10 @@ SQL: dict[str, str] = {}
 NOW = 1_700_000_000
 
 
+#: Tables of long texts, whose rows are worth dealing over all cores even where they stand in one file.
+TEXTS = ("documents", "pages")
+
+
 class Tables:
     """Tables of a data folder by attribute."""
 
@@ -21,7 +27,8 @@ class Tables:
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        found = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return spread(found) if name in TEXTS else found
 
 
 def query(sql: str | None = None):
