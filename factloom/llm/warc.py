@@ -1,8 +1,9 @@
 """WARC archives with revisit resolution.
 
-Headers - payload digest, length, page id - are shuffled by digest to find each repeated payload's
-original, the revisits are joined to it, and deduplicated archives are written with fresh headers
-by Spark's own writer into the shared folder. Reading parses the archives by Content-Length alone.
+Headers - payload digest, length, key, address - are shuffled by digest to find each repeated payload's original and
+are joined to it; payloads stay where they are. A revisit record has no payload, so it is written from its header
+alone; responses are written from the rows that no header calls a revisit. Archives are written with fresh headers by
+Spark's own writer into the shared folder. Reading parses them by Content-Length alone.
 """
 
 from __future__ import annotations
@@ -17,29 +18,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import counted_join, read, shared_dir, staged
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_BYTES = 1000
-#: Records of one archive file at most, which bounds what a reading task holds.
-FILE_RECORDS = 2_000
+#: Records and bytes of payload of one archive file at most, which bounds what a reading task holds.
+FILE_RECORDS, FILE_BYTES = 2_000, 256 << 20
+#: Revisits up to which their keys are held in every task; more are joined by shuffle.
+HELD_REVISITS = 2_000_000
 CRLF = "\r\n"
 PIECE = 1 << 20
 
 
+def headers_of(pages: DataFrame, *, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """key, url, payload_bytes, payload_digest and the payload of every row; null html is an empty payload."""
+    address = F.col(url) if url in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(key).alias("key"), address.alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1(F.col("payload").cast("binary")))
+
+
+def revisits(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """key, url, payload_bytes, payload_digest, refers_to of the rows that revisit another, from headers alone, staged.
+
+    Of equal payloads of ``least`` bytes or more the largest key is the response; rows that tie on it, or whose key is
+    null where all are null, are responses too. A digest of very many rows is joined by broadcast.
+    """
+    own = staged(headers.where(F.col("payload_bytes") >= least).select("key", "url", "payload_bytes", "payload_digest"), "headers")
+    originals = own.groupBy("payload_digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    joined = counted_join(own, originals, "payload_digest", own.count()).drop("n")
+    return staged(joined.where(F.col("refers_to").isNotNull() & ~F.col("key").eqNullSafe(F.col("refers_to"))), "revisits")
+
+
 def resolved(pages: DataFrame, *, key: str = "page_id", html: str = "html", url: str = "url", least: int = LEAST_BYTES) -> DataFrame:
-    """Rows key, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+    """Rows key, url, payload (null of revisits), payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload. Of equal payloads of ``least`` bytes or more the largest key is
-    the response; rows that tie on it, or whose key is null where all are null, are responses too.
+    All rows of one key and digest are of one type, so the pair tells which rows are revisits.
     """
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url") if url in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1(F.col("payload").cast("binary")))
-    headers = rows.where(F.col("payload_bytes") >= least).select("key", "payload_digest")
-    originals = headers.groupBy("payload_digest").agg(F.max("key").alias("original"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    joined = rows.join(originals, "payload_digest", "left")
-    again = F.col("original").isNotNull() & ~F.col("key").eqNullSafe(F.col("original"))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("original"))).drop("original")
+    rows = headers_of(pages, key=key, html=html, url=url)
+    again = revisits(rows, least)
+    names = again.select(F.col("key").alias("__key"), F.col("payload_digest").alias("__digest")).distinct()
+    names = F.broadcast(names) if again.count() <= HELD_REVISITS else names
+    responses = rows.join(names, (F.col("payload_digest") == F.col("__digest")) & F.col("key").eqNullSafe(F.col("__key")), "left_anti")
+    first = responses.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(again.schema["refers_to"].dataType)})
+    return first.unionByName(again.withColumns({"record_type": F.lit("revisit"), "payload": F.lit(None).cast("string")}))
 
 
 def record(rows: DataFrame, date: str) -> DataFrame:
@@ -57,7 +78,7 @@ def record(rows: DataFrame, date: str) -> DataFrame:
 
     is_response = F.col("record_type") == "response"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
-    block = F.when(is_response, F.concat(http, F.col("payload"))).otherwise(http)
+    block = F.when(is_response, F.concat(http, F.coalesce("payload", F.lit("")))).otherwise(http)
     fields = [
         F.lit(f"WARC/1.1{CRLF}"),
         header("WARC-Type", F.col("record_type")),
@@ -78,10 +99,18 @@ def record(rows: DataFrame, date: str) -> DataFrame:
     return rows.withColumn("block", block).select(F.concat(*fields).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T00:00:00Z", records: int = FILE_RECORDS, **names) -> str:
-    """Write deduplicated gzip archives of ``pages`` under ``path`` (default: the shared folder)."""
+def write_archives(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T00:00:00Z", records: int = FILE_RECORDS, size: int = FILE_BYTES, **names) -> str:
+    """Write deduplicated gzip archives of ``pages`` under ``path`` (default: the shared folder).
+
+    A file holds at most ``records`` records, and so few that they stay under ``size`` bytes of payload even if all are as
+    large as the largest; a larger single record has a file of its own.
+    """
     path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/factloom/warc-{uuid.uuid4().hex}"
-    record(resolved(pages, **names), date).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    rows = resolved(pages, **names)
+    html = names.get("html", "html")
+    largest = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
+    few = max(1, min(records, size // (largest + 1)))
+    record(rows, date).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", few).option("compression", "gzip").text(path)
     return path
 
 
@@ -142,23 +171,27 @@ def parsed(content: bytes) -> Iterator[tuple]:
             if found != stated or len(payload) != size:
                 raise ValueError(f"record {head['warc-record-id']}: the payload is not what its header states")
         key, refers = head["x-key"], head.get("x-refers-to-key")
-        yield (int(key) if key else None, size, stated, kind, int(refers) if refers else None)
+        yield (key or None, size, stated, kind, refers or None)
+
 
+def read_archives(spark: SparkSession, path: str, *, key: str = "page_id", key_type: str = "long") -> DataFrame:
+    """Records of the archives under ``path``; responses are checked against digest and length. A key that was an empty
+    string reads as null; an empty folder of archives gives no rows."""
 
-def read_archives(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFrame:
-    """Records of the archives under ``path``; responses are checked against digest and length."""
     def rows(batches):
         for batch in batches:
             for content in batch.column(0):
                 found = list(zip(*parsed(content.as_py())))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["k", "b", "d", "t", "r"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["k", "b", "d", "t", "r"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(rows, "k long, b long, d string, t string, r long").toDF(key, "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = files.mapInArrow(rows, "k string, b long, d string, t string, r string")
+    return found.select(F.col("k").cast(key_type).alias(key), F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("t").alias("record_type"), F.col("r").cast(key_type).alias("refers_to"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from its archives."""
     return read_archives(spark, write_archives(read(spark, sf_dir, "pages")))
 
 
