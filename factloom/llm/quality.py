@@ -1,16 +1,18 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-Target text is what the labels call good (quality 1, not toxic). Raw text is a mixture of target text
-and two other components, toxic and low-quality text. Each is a model of which hashed n-grams a
-document has: unigrams, bigrams and word beginnings, plus how much of it repeats the word before. A
-bucket counts as equally likely in target and component - the models are tied there - unless it is
-more frequent in the component by a factor of e at a high z score, so that neither common
-nor rare words add up to a verdict. Exact copies teach once.
-
-A document's log ratio to a component, less the component's cut, is its margin. Its importance is
-w = 1 / (pi + sum of pi_c exp(-margin_c)); k documents are drawn without replacement in proportion to
-a power of w: those with the largest log w / temperature + Gumbel(document). k is the number of documents, of all, with a
-positive margin to every component.
+Target text is what the labels call good (quality 1, not toxic). Raw text is all documents, a mixture of
+target text and two other components, toxic and low-quality text. Each part is a model of which hashed
+n-grams a document has: unigrams, bigrams and word beginnings, plus how much of it repeats the word before.
+The labelled sample gives a first model of each part; by it every document of the corpus is told to its part,
+and the counts of all documents, not of the sample, make the models that weigh (one step of hard
+expectation maximisation, so that what is counted grows with the input). A bucket counts as equally likely in
+target and component - the models are tied there - unless it is more frequent in the component by a factor of
+e at a high z score, so that neither common nor rare words add up to a verdict.
+
+A document's log ratio to a component, less the component's cut, is its margin. Its importance is target over
+raw, w = 1 / (pi + sum of pi_c exp(-margin_c)); k documents are drawn without replacement in proportion to a
+power of w: those with the largest log w / temperature + Gumbel(document). k is the number of documents, of all,
+with a positive margin to every component.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def _code(token: str) -> int:
     if (found := _codes.get(token)) is None:
         shape, low = "^" if len(token) > 1 and token.isupper() else "", token.lower()
         found = zlib.crc32((shape + low).encode()) << 32 | zlib.crc32((shape + low[:5] + "*").encode() if len(low) > 5 else b"*")
-        if len(_codes) > 300_000:
+        if len(_codes) > 150_000:
             _codes.clear()
         if len(token) <= 40:
             _codes[token] = found
@@ -95,8 +97,11 @@ class Model:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Log ratio to each component less its cut, of each whole text; without n-grams -cut."""
-        found = [self.ratios[buckets_of(t)].sum(axis=0, dtype=np.float64) for t in texts]
-        return np.array(found).reshape(len(texts), len(self.parts)) - self.cuts
+        return self.margins_of([buckets_of(t) for t in texts])
+
+    def margins_of(self, buckets: list[np.ndarray]) -> np.ndarray:
+        found = [self.ratios[b].sum(axis=0, dtype=np.float64) for b in buckets]
+        return np.array(found).reshape(len(buckets), len(self.parts)) - self.cuts
 
     def log_weight(self, margins: np.ndarray) -> np.ndarray:
         terms = np.concatenate([np.full((len(margins), 1), np.log(self.shares[0])), np.log(self.shares[1:]) - margins], axis=1)
@@ -134,39 +139,77 @@ def signs_of(counts: DataFrame, part: str, sizes: dict[str, int]) -> tuple[np.nd
     return at, ratios, float((ratios * np.array([r["good"] for r in found])).sum() / total)
 
 
-def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    """Bucket counts on the executors, summed and compared by Spark; the driver gets the telling buckets.
+KINDS = ("good", *COMPONENTS)
 
-    Cuts are set on the tuning share. Without good or without other labels every document passes.
-    """
-    sample = staged(labelled_sample(docs, labels, **names), "labelled")
-    kinds = ("good", *COMPONENTS)
-
-    def count(batch: pa.RecordBatch) -> dict:
-        by: dict[str, list] = {}
-        for kind, t in zip(*columns_of(batch, "kind", "text")):
-            by.setdefault(kind, []).append(buckets_of(t))
-        rows = [(kinds.index(k), *np.unique(np.concatenate(b), return_counts=True)) for k, b in by.items()]
-        return {"kind": pa.array(np.concatenate([np.full(len(r[1]), r[0]) for r in rows]), pa.int32()), "at": np.concatenate([r[1] for r in rows]), "n": np.concatenate([r[2] for r in rows])}
-
-    teach = sample.where("NOT tune")
-    sums = map_batches(teach, count, "kind int, at long, n long")
-    counts = staged(sums.groupBy("at").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("double").alias(k) for i, k in enumerate(kinds)]), "counts")
-    sizes = {r["kind"]: r["n"] for r in teach.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = Model(sizes, {c: signs_of(counts, c, sizes) for c in COMPONENTS if sizes.get(c) and sizes.get("good")})
-    frozen = sample.sparkSession.sparkContext.broadcast(model)
+
+def _tuned(model: Model, tune: DataFrame) -> Model:
+    """The model with cuts set on the tuning share."""
+    frozen = tune.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
         kinds, texts = columns_of(batch, "kind", "text")
         return {"kind": kinds, "m": pa.array(frozen.value.margins(texts).tolist(), pa.list_(pa.float64()))}
 
-    tuned = map_batches(sample.where("tune"), score, "kind string, m array<double>").collect()
+    tuned = map_batches(tune, score, "kind string, m array<double>").collect()
     for i, part in enumerate(model.parts):
         own = [r for r in tuned if r["kind"] in ("good", part)]
         model.cuts[i] = best_cut(np.array([r["m"][i] for r in own]), np.array([r["kind"] == "good" for r in own], dtype=bool))
     return model
 
 
+def _modelled(sums: DataFrame) -> Model:
+    """A model from bucket counts (kind, at, n); bucket -1 counts the documents. The driver gets the telling buckets."""
+    counts = staged(sums.groupBy("at").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("double").alias(k) for i, k in enumerate(KINDS)]), "counts")
+    whole = counts.where("at = -1").first()
+    sizes = {k: int(whole[k]) for k in KINDS} if whole else {}
+    return Model(sizes, {c: signs_of(counts.where("at >= 0"), c, sizes) for c in COMPONENTS if sizes.get(c) and sizes.get("good")})
+
+
+def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
+    """Models from the labelled sample, then from all documents as these tell them apart.
+
+    Buckets are counted on the executors, summed and compared by Spark; the driver gets the telling buckets.
+    Cuts are set on the tuning share of the sample. Without good or without other labels every document passes.
+    """
+    sample = staged(labelled_sample(docs, labels, **names), "labelled")
+    tune = sample.where("tune")
+
+    def taught(batches):
+        for batch in slices(batches):
+            by: dict[str, list] = {}
+            for kind, t in zip(*columns_of(batch, "kind", "text")):
+                by.setdefault(kind, []).append(buckets_of(t))
+            for kind, found in by.items():
+                at, n = np.unique(np.concatenate([*found, np.full(len(found), -1)]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), KINDS.index(kind)), pa.int32()), "at": at, "n": n})
+
+    first = _tuned(_modelled(sample.where("NOT tune").mapInArrow(taught, "kind int, at long, n long")), tune)
+    if not first.parts:
+        return first
+    frozen = sample.sparkSession.sparkContext.broadcast(first)
+
+    def told(batches):
+        # one table of counts a task, whatever its number of documents
+        found = np.zeros((len(KINDS), BUCKETS), dtype=np.int64)
+        whole = np.zeros(len(KINDS), dtype=np.int64)
+        numbers = [0, *[KINDS.index(c) for c in first.parts]]
+        for batch in slices(batches):
+            each = [buckets_of(t) for t in columns_of(batch, "t")[0]]
+            margins = frozen.value.margins_of(each)
+            for buckets, m in zip(each, margins):
+                kind = numbers[1 + int(m.argmin())] if m.min() <= 0 else 0
+                found[kind, buckets] += 1
+                whole[kind] += 1
+        for kind in range(len(KINDS)):
+            if whole[kind]:
+                at = np.flatnonzero(found[kind])
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at) + 1, kind), pa.int32()), "at": np.append(at, -1), "n": np.append(found[kind, at], whole[kind])})
+
+    text = names.get("text", "text")
+    corpus = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInArrow(told, "kind int, at long, n long")
+    return _tuned(_modelled(corpus), tune)
+
+
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     """Cut with the largest weighted true minus false acceptance rate, in the middle of the gap; keeps all
     where a kind is missing."""
@@ -191,7 +234,8 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
         for batch in slices(batches):
             texts, draws = columns_of(batch, "t", "u")
             margins = frozen.value.margins(texts)
-            score, weight = margins.min(axis=1, initial=100.0), frozen.value.log_weight(margins)
+            score = margins.min(axis=1) if margins.shape[1] else np.full(len(margins), np.inf)
+            weight = frozen.value.log_weight(margins)
             gumbel = -np.log(-np.log(np.array(draws) + 0.5 / (1 << 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(weight), pa.array(weight / TEMPERATURE + gumbel)], names=["row", "__score", "__log_weight", "__key"])
 
