@@ -24,13 +24,15 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest id."""
+    """Of each group of near duplicates (five-word Jaccard 0.8 or more) the document with the smallest id."""
     return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontamination.accepted(docs, decontamination.build(decontamination.coded(docs), read(spark, sf_dir, "benchmark")))
+    for index in decontamination.indexes(decontamination.coded(docs), read(spark, sf_dir, "benchmark")):
+        docs = decontamination.accepted(docs, index)
+    return docs
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
