@@ -181,7 +181,9 @@ def pack(pieces: DataFrame, *, size: int = SIZE, key: str = "doc_id") -> DataFra
     plan_rows = places(plan(histogram, size))
     salts = max(1, -(-sum(counts.values()) // CELL_ROWS))
     # the count of rows before a cell, then a rank inside it: no task sorts a whole length
-    cells = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)))
+    # the salt is of a row's place in the staged files, too, so that rows equal altogether are spread; files do not change
+    spread = F.xxhash64(key, "piece", "ids_crc32", "_metadata.file_name", "_metadata.row_index")
+    cells = pieces.withColumn("salt", F.pmod(spread, F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cells.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "salt").orderBy(key, "piece", "start", "ids_crc32")
@@ -205,4 +207,5 @@ def pack_documents(docs: DataFrame, *, size: int = SIZE, folder: str | None = No
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 tokens: ``pack_documents``."""
     return pack_documents(read(spark, sf_dir, "documents"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import counted_join, read, staged
 
 SHARDS, ROUNDS = 16, 3
 #: Largest unit as a share of a shard's quota, and rows that one ranking task sorts, about.
@@ -32,11 +32,15 @@ def units(docs: DataFrame, quota: int, shards: int, *, key: str = "doc_id", text
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("same"),
     )
+    # a row's place in the staged files tells rows apart whose ids are null or repeat; files do not change
+    rows = staged(rows, "rows")
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "_metadata.file_name", "_metadata.row_index"))
+    # a text of very many rows is joined by broadcast, so that no task gets all of them
     counts = rows.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
     most = max(1, quota // UNIT_SHARE)
-    joined = rows.join(counts, "same")
-    deal = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("n") / most))
-    return joined.select("doc_id", "size", "text_crc32", F.xxhash64("same", deal).alias("unit"), (F.col("n") == 1).alias("single"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("label"))
+    joined = counted_join(rows, counts, "same", quota * shards)
+    deal = F.pmod(F.xxhash64("place", F.lit(7)), F.ceil(F.col("n") / most))
+    return joined.select("doc_id", "size", "text_crc32", F.xxhash64("same", deal).alias("unit"), (F.col("n") == 1).alias("single"), F.pmod(F.xxhash64("place", F.lit(1)), F.lit(shards)).cast("int").alias("label"))
 
 
 def propagated(rows: DataFrame, quota: int, shards: int, turn: int) -> DataFrame:
@@ -115,4 +119,5 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, key:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards under the law ``rows``: ``sharded`` at its production parameters."""
     return sharded(read(spark, sf_dir, "documents"))
