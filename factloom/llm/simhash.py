@@ -24,6 +24,7 @@ one pair in six hundred. Candidates are verified by their whole shingle sets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, counted_join, map_batches, quoted, read, staged
+from .common import columns_of, counted_join, map_batches, quoted, read, slices, staged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Words of a shingle, and least Jaccard similarity, where rows are grouped by similarity.
@@ -40,8 +41,9 @@ WIDE, SIMILARITY = 5, 0.8
 #: Blocks of a wide print, and shingles that a block samples.
 BLOCK_BITS, SAMPLE = 4, 5
 BLOCKS = 1 << BLOCK_BITS
-#: Nodes, about, that each cell compares with all its others in the first round.
-ASKING = 3
+#: Nodes, about, that each cell compares with all its others at first; of the others, how many one comparison takes, and
+#: of how many shingles, which bounds what a row carries.
+ASKING, CHUNK, CHUNK_SIZE = 3, 48, 8_000
 #: Bits in which whole prints of a pair may differ: at similarity 0.8 ten are usual, with a deviation below three.
 FAR = 21
 #: Members of a cell that are compared pair by pair; fuller cells take the linear way.
@@ -300,7 +302,7 @@ _words: dict[bytes, int] = {}
 def _word(word: bytes) -> int:
     if (found := _words.get(word)) is None:
         found = xxhash.xxh64_intdigest(word, SEED)
-        if len(_words) > 400_000:
+        if len(_words) > 150_000:
             _words.clear()
         if len(word) <= 40:
             _words[word] = found
@@ -380,50 +382,93 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(map_batches(both, run, "a long, b long"), "links")
 
 
+class AskedSets:
+    """Some sets as one sorted list of members, against which another set is counted in one step."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        numbers = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        values = np.concatenate([*sets, np.zeros(0, np.uint32)])
+        order = np.argsort(values, kind="stable")
+        self.values, self.numbers = values[order], numbers[order]
+        self.sizes = np.array([len(s) for s in sets])
+
+    def similar(self, other: np.ndarray) -> np.ndarray:
+        """Numbers of the sets with a similarity of ``SIMILARITY`` or more to ``other``."""
+        first, last = np.searchsorted(self.values, other, "left"), np.searchsorted(self.values, other, "right")
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.numbers[at], minlength=len(self.sizes))
+        return np.flatnonzero((shared >= SIMILARITY * (self.sizes + len(other) - shared)) & (shared > 0))
+
+
+def met_in_chunks(members: DataFrame, asks: DataFrame) -> DataFrame:
+    """Verified links between members (cell, node, component, set) and asks of other components in their cell, staged.
+
+    Asks (cell, chunk, asked: about ``CHUNK`` of node, component, set) are compared as a whole with each member that
+    streams by, so a pair is a number inside a task, never a row.
+    """
+    both = members.join(asks, "cell").select("node", "component", "set", "cell", "chunk", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        for batch in slices(batches):
+            nodes, parts, sets, cells, chunks, asked = (batch.column(i) for i in range(6))
+            out: dict[str, list] = {"a": [], "b": []}
+            for i in range(batch.num_rows):
+                key = (cells[i].as_py(), chunks[i].as_py())
+                if key not in known:
+                    if len(known) >= 16:  # rows of a cell follow each other
+                        known.clear()
+                    rows = asked[i].as_py()
+                    known[key] = ([r["node"] for r in rows], [r["component"] for r in rows], AskedSets([np.frombuffer(r["set"], dtype=np.uint32) for r in rows]))
+                ids, theirs, table = known[key]
+                node, part = nodes[i].as_py(), parts[i].as_py()
+                for j in table.similar(np.frombuffer(sets[i].as_buffer(), dtype=np.uint32)).tolist():
+                    if theirs[j] != part:
+                        out["a"].append(min(node, ids[j]))
+                        out["b"].append(max(node, ids[j]))
+            if out["a"]:
+                yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()})
+
+    return staged(both.mapInArrow(run, "a long, b long"), "links")
+
+
 def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> DataFrame:
     """Links (a, b): their components are those of all verified pairs that share a block.
 
-    In rounds, some nodes of each cell (a block's print) are compared with all its others; a cell whose
-    nodes are known to be joined is done, others ask again with eight times as many of those outside
-    of the cell's largest component. At the end every pair of a cell is compared or known to be joined.
+    First a few nodes of each cell (a block's print) are compared with all its others, which joins most groups of
+    copies. Then, in cells whose nodes are not all known to be joined, every node outside of the cell's largest
+    component that has not asked yet is compared with the nodes of other components. At the end every pair of a cell is
+    compared or known to be joined.
     """
     # prints this far apart, or sizes, cannot belong to a pair of that similarity (beyond chance of 1 in 10,000)
     fits = (F.least("size", "other") >= SIMILARITY * F.greatest("size", "other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("there"))) <= FAR)
     filed = nodes.select("node", "size", "print", F.explode("blocks").alias("cell"))
     cells = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(counted_join(filed, cells, "cell", nodes.count()).drop("n"), "cells")
+    members = staged(counted_join(filed, cells, "cell", nodes.count()), "cells")
     inside = staged(members.select(F.col("node").alias("print")).distinct(), "nodes")
     wanted = nodes.join(inside.withColumnRenamed("print", "node"), "node", "left_semi").select("own")
     # one row of each node that has a candidate; rows are found by what tells them apart, so no node is a hot key
     sets = staged(rows.join(wanted, "own", "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
-    many, links, asked = members.count(), None, None
-    for turn in range(64):
-        if links is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            labels = components(inside, links, "print").withColumnRenamed("print", "node")
-            now = staged(members.join(labels, "node"), "cells")
-        parts = now.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        open_ = counted_join(now, largest, "cell", many).drop("n")
-        outside = open_.where("component <> most").select("cell", "node", "size", "print", "component")
-        if asked is not None:
-            outside = outside.join(asked, ["cell", "node"], "left_anti")
-        outside = staged(outside, "outside")
-        if outside.isEmpty():
-            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        left = outside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        ask = staged(counted_join(outside, left, "cell", many).where(chance * F.col("n") < asking), "asks")
-        asks = ask.select("cell", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("print").alias("there"), F.col("component").alias("own"))
-        met = open_.join(asks, "cell").where("component <> own").where(fits)
-        pairs = staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs")
-        new = alike(pairs, sets)
-        links = new if links is None else links.unionByName(new)
-        done = ask.select("cell", "node")
-        asked = done if asked is None else asked.unionByName(done)
-        asking *= 8
-    raise RuntimeError("cells did not settle")
+    many = members.count()
+    # the few that ask are the same in all cells of a node, so that their pairs coincide
+    chance = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    ask = staged(members.where(chance * F.col("n") < asking).select("cell", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("print").alias("there")), "asks")
+    met = members.join(ask, "cell").where("node <> asks").where(fits)
+    links = alike(staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs"), sets)
+    labels = components(inside, links, "print").withColumnRenamed("print", "node")
+    now = staged(members.drop("n").join(labels, "node"), "cells")
+    parts = now.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    open_ = staged(counted_join(now, largest, "cell", many).drop("n"), "open")
+    outside = staged(open_.where("component <> most").select("cell", "node", "component", "size").join(ask.select("cell", F.col("asks").alias("node")), ["cell", "node"], "left_anti"), "outside")
+    if outside.isEmpty():
+        return links
+    left = outside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_SIZE)).alias("chunks"))
+    cut = counted_join(outside, left, "cell", many).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
+    asks = cut.join(sets, "node").groupBy("cell", "chunk").agg(F.collect_list(F.struct("node", "component", "set")).alias("asked"))
+    meeting = open_.join(left.select("cell"), "cell", "left_semi").select("node", "cell", "component").join(sets, "node")
+    return links.unionByName(met_in_chunks(meeting, staged(asks, "asks")))
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", asking: int = ASKING) -> DataFrame:
