@@ -16,8 +16,12 @@ BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, by Spark's reader (the path may be in any store)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder, by Spark's reader (the path may be in any store).
+
+    A file so small that it makes fewer tasks than there are cores is dealt over them; larger ones are not shuffled.
+    """
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found._jdf.queryExecution().toRdd().getNumPartitions() < cores else found
 
 
 def shared_dir(spark: SparkSession) -> str:

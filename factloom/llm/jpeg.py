@@ -359,4 +359,5 @@ def media_features(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of media columns per document, read back from the stored bytes."""
     return media_features(media_column(read(spark, sf_dir, "documents")))

@@ -238,6 +238,7 @@ def identify(docs: DataFrame, trees: Trees, *, key: str = "doc_id", text: str =
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; a fifth of them, by a checksum of the id, is held out of training."""
     docs = read(spark, sf_dir, "documents")
     return identify(docs, train(docs))
 

@@ -71,4 +71,5 @@ def token_counts(docs: DataFrame, *, folder: str | None = None, key: str = "doc_
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document: ``token_counts`` at its production parameters."""
     return token_counts(read(spark, sf_dir, "documents"))
