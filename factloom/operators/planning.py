@@ -13,7 +13,7 @@ CONSTRAINT_RANK = {"schema_fact": 0, "invariant": 1}
 SEVERITY = {"high": 0, "med": 1, "low": 2}
 FINGERPRINTS = {".css": ("perf_hotpath",), ".scss": ("perf_hotpath",), ".md": (), ".sql": ("schema_migration", "cross_repo_impact", "backwards_compat", "invariant_risk")}
 CHANGED_SYMBOLS = (r"\b(?:def|class|func|fn)\s+([A-Za-z_][\w$]*)", r"\b([A-Z][A-Za-z0-9_]+)\s*\(", r"\b([a-z][A-Za-z0-9_]+)\s*\(")
-STATE_FOLDERS = (".meristem", ".dlms")
+STATE_FOLDERS = (".factloom",)
 DEBOUNCE_SECONDS, LOCK_STALE_SECONDS = 90, 900
 
 

@@ -31,7 +31,7 @@ LIFTS = {
   CAST(NULL AS BIGINT) AS reviewed_at, CAST(NULL AS VARCHAR(1)) AS atom_id, CAST(NULL AS VARCHAR(1)) AS source_ref FROM {{conversations}} WHERE role = 'user'""",
     "repos": f"""SELECT 'r' || n_nationkey AS repo_id, '/w/' || n_name AS root_path, CASE WHEN n_nationkey % 4 <> 0 THEN substr(md5(n_name), 1, 12) END AS last_indexed_sha, CAST(CASE WHEN n_nationkey % 5 <> 0 THEN {NOW} - n_nationkey END AS BIGINT) AS last_indexed_at, CAST(n_nationkey % 3 AS INT) AS last_atoms_skipped FROM {{nation}}""",
     "probes": """SELECT 'r' || n_nationkey AS repo_id, n_nationkey % 6 <> 5 AS root_exists, n_nationkey % 7 <> 6 AS is_git, CASE WHEN n_nationkey % 8 <> 7 THEN substr(md5(n_name), 3, 12) END AS head_sha, CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey WHEN n_nationkey % 3 = 1 THEN 0 END AS BIGINT) AS commits_behind FROM {nation}""",
-    "dirty": "SELECT 'r' || s_nationkey AS repo_id, CASE s_suppkey % 4 WHEN 0 THEN '.meristem/x' WHEN 1 THEN '.dlms' ELSE 'src/' || s_name END AS path FROM {supplier}",
+    "dirty": "SELECT 'r' || s_nationkey AS repo_id, CASE s_suppkey % 4 WHEN 0 THEN '.factloom/x' WHEN 1 THEN '.factloom' ELSE 'src/' || s_name END AS path FROM {supplier}",
     "vectors": "SELECT 'A' || (vec_id + 1) AS atom_id, CASE WHEN vec_id % 10 = 9 THEN 'other' ELSE 'm' END AS model, embedding AS vector FROM {embeddings}",
 }
 

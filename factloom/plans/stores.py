@@ -216,7 +216,7 @@ def pulse(t):
 
 DRIFT = twin("repos", "probes", "dirty") + """, d AS (SELECT repo_id, last_indexed_at IS NULL AS never_indexed, is_git AND last_indexed_sha IS NOT NULL AND commits_behind IS NULL AS unknown_base,
   is_git AND last_indexed_at IS NOT NULL AND last_indexed_sha IS NULL AND head_sha IS NOT NULL AS indexed_without_head, coalesce(commits_behind, 0) AS behind, root_exists, is_git,
-  (SELECT count(DISTINCT path) FROM dirty x WHERE x.repo_id = r.repo_id AND path NOT LIKE '.meristem%' AND path NOT LIKE '.dlms%') AS dirty FROM repos r JOIN probes USING (repo_id)),
+  (SELECT count(DISTINCT path) FROM dirty x WHERE x.repo_id = r.repo_id AND path NOT LIKE '.factloom%') AS dirty FROM repos r JOIN probes USING (repo_id)),
 e AS (SELECT *, root_exists AND is_git AND (never_indexed OR unknown_base OR indexed_without_head OR behind > 0) AS drifted FROM d)"""
 
 

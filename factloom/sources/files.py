@@ -39,7 +39,7 @@ FACTS = "path string, kind string, topic string, short string, claim string, lon
 ROOT_DOCS = ("README.md", "README.rst", "README", "CLAUDE.md", "AGENTS.md", "CONTRIBUTING.md", "ARCHITECTURE.md")
 CAPS = {"manifest": 300, "schema": 300, "invariants": 400, "symbols": 200, "modules": 100}
 SOURCE_SUFFIXES = (".py", ".js", ".ts", ".tsx", ".jsx", ".dart", ".go", ".rs", ".rb", ".java", ".kt", ".swift", ".c", ".h", ".cpp", ".hpp", ".cs", ".sql")
-NEVER_MODULES = (".git", ".meristem", ".dlms", ".github", ".vscode", "__pycache__")
+NEVER_MODULES = (".git", ".factloom", ".github", ".vscode", "__pycache__")
 H1 = r"(?m)^#\s+(.+?)\s*$"
 CREATE_TABLE = r'(?i)CREATE\s+(?:TEMP(?:ORARY)?\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:"?[A-Za-z_]\w*"?\.)?"?([A-Za-z_]\w*)"?\s*\('
 TABLE_LEVEL = r"(?i)(PRIMARY|FOREIGN|UNIQUE|CHECK|CONSTRAINT)\b"

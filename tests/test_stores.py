@@ -154,7 +154,7 @@ def test_drift_states(spark):
     rows = [("cur", "s", 1, True, True, "s", 0), ("two", "s", 1, True, True, "h", 2), ("lost", "s", 1, True, True, "h", None), ("new", None, None, True, True, "h", None), ("first", None, 1, True, True, "h", None), ("plain", "s", 1, True, False, None, None), ("gone", "s", 1, False, False, None, None)]
     state = spark.createDataFrame([(r, "/x", s, a) for r, s, a, *_ in rows], "repo_id string, root_path string, last_indexed_sha string, last_indexed_at long")
     probes = spark.createDataFrame([(r, e, g, h, b) for r, _, _, e, g, h, b in rows], "repo_id string, root_exists boolean, is_git boolean, head_sha string, commits_behind long")
-    dirty = spark.createDataFrame([("cur", "a"), ("cur", ".meristem/x"), ("cur", "a")], "repo_id string, path string")
+    dirty = spark.createDataFrame([("cur", "a"), ("cur", ".factloom/x"), ("cur", "a")], "repo_id string, path string")
     got = planning.drift(state, probes, dirty)
     assert {r.repo_id: (r.drifted, r.description) for r in got.collect()} == {
         "cur": (False, "current with HEAD"), "two": (True, "2 commit(s) behind HEAD"), "lost": (True, "indexed at s, which git cannot resolve"), "new": (True, "never indexed"),
