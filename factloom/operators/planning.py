@@ -97,9 +97,12 @@ def edge_cases(symbols: DataFrame, lines: DataFrame, mirrors: DataFrame, paths:
     A symbol that no test file names is a test gap, one with mirrors may need its siblings changed, one named
     beside asserts puts an invariant at risk; a changed .sql file wants a migration. Most severe first.
     """
-    words = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
+    # the symbols of a change are one array that every task holds; a line meets it as a whole, so that no row is made
+    # of each of its words, with the line beside it
+    asked = F.broadcast(symbols.agg(F.collect_set("name").alias("__asked")))
+    words = F.regexp_extract_all("line", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))
+    named = lines.crossJoin(asked).select("path", "line", F.explode(F.array_intersect(words, "__asked")).alias("name"))
     test = F.element_at(F.split("path", "/"), -1).rlike(r"^test|_test\.|\.test\.")
-    named = words.join(symbols.select("name").distinct(), "name", "left_semi")
     nth = Window.partitionBy("name").orderBy("path", "line")
     callers = named.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= most)
     counts = callers.groupBy("name").agg(F.count(F.lit(1)).alias("callers"), F.count_if(F.lower("line").contains("assert")).alias("asserts"))

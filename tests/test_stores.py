@@ -266,3 +266,11 @@ def test_module_edges_deal_atoms_by_edges(spark, monkeypatch):
         assert sorted((r.src_id, r.dst_id) for r in found.collect()) == sorted(want)
         if edges == 2:  # one directory's edges are made by more than one task
             assert found.rdd.getNumPartitions() > 1 and "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edge_cases_take_lines_whole(spark):
+    lines = spark.createDataFrame([("src/a.py", "alpha alpha beta"), ("src/b.py", "assert alpha(1)"), ("src/test_c.py", "gamma"), ("src/d.py", None)], "path string, line string")
+    symbols = spark.createDataFrame([("alpha",), ("gamma",), ("alpha",)], "name string")
+    cases = planning.edge_cases(symbols, lines, spark.createDataFrame([], "name string, id string"))
+    assert "LeftSemi" not in cases._jdf.queryExecution().toString()  # no row of each word with its line
+    assert {(r.kind, r.severity, r.n_evidence) for r in cases.collect()} == {("invariant_risk", "high", 2), ("test_gap", "low", 2)}
