@@ -171,3 +171,15 @@ def test_similar_sets_in_groups(spark, monkeypatch):
     every = range(len(own))
     met = near.Sets([bytes(r.common) for r in own], [bytes(r.rare) for r in own], 0.6).similar(np.array(every), np.array(every))
     assert {(own[a].rep, own[b].rep): round(j, 6) for part in met for a, b, j in zip(*part) if own[a].rep < own[b].rep} == wanted
+
+
+def test_greedy_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(near, "GROUP_BYTES", 60)
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 8))) for i in range(20)] + [(20, ""), (21, "w0 w1 w2 w3 w4 w5 w6 w7")]
+    sets = {i: set(t.split()) for i, t in rows}
+    kept = []
+    for i in sets:
+        if not any(sets[k] & sets[i] and len(sets[k] & sets[i]) >= 0.6 * len(sets[k] | sets[i]) for k in kept):
+            kept.append(i)
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert [r.id for r in near.greedy(df, ident="id", text="text").where("kept").orderBy("id").collect()] == kept
