@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, counted_join, map_batches, quoted, read, slices, staged
+from .common import columns_of, counted_join, map_batches, quoted, read, staged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Words of a shingle, and least Jaccard similarity, where rows are grouped by similarity.
@@ -41,9 +41,9 @@ WIDE, SIMILARITY = 5, 0.8
 #: Blocks of a wide print, and shingles that a block samples.
 BLOCK_BITS, SAMPLE = 4, 5
 BLOCKS = 1 << BLOCK_BITS
-#: Nodes, about, that each cell compares with all its others at first; of the others, how many one comparison takes, and
-#: of how many shingles, which bounds what a row carries.
-ASKING, CHUNK, CHUNK_SIZE = 3, 48, 8_000
+#: Nodes, about, that each cell compares with all its others at first; of the others, how many a chunk takes, and
+#: of how many shingles, which bounds what a row carries; and rows of two chunks in a batch.
+ASKING, CHUNK, CHUNK_SIZE, ROWS_OF_CHUNKS = 3, 48, 8_000, 64
 #: Bits in which whole prints of a pair may differ: at similarity 0.8 ten are usual, with a deviation below three.
 FAR = 21
 #: Members of a cell that are compared pair by pair; fuller cells take the linear way.
@@ -401,36 +401,44 @@ class AskedSets:
         return np.flatnonzero((shared >= SIMILARITY * (self.sizes + len(other) - shared)) & (shared > 0))
 
 
+def in_chunks(rows: DataFrame, sets: DataFrame, many: int) -> DataFrame:
+    """Nodes (cell, node, component, size) of each cell as chunks: cell, chunk, nodes (a list of node, component, set), of
+    about ``CHUNK`` nodes and ``CHUNK_SIZE`` shingles at most. many: rows, about."""
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_SIZE)).alias("chunks"))
+    dealt = counted_join(rows, cells, "cell", many).select("cell", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("chunks", F.lit(1))).alias("chunk"), "node", "component")
+    return dealt.join(sets, "node").groupBy("cell", "chunk").agg(F.collect_list(F.struct("node", "component", "set")).alias("nodes"))
+
+
 def met_in_chunks(members: DataFrame, asks: DataFrame) -> DataFrame:
-    """Verified links between members (cell, node, component, set) and asks of other components in their cell, staged.
+    """Verified links between nodes of ``members`` and of ``asks`` (both ``in_chunks``) in a cell, of other components, staged.
 
-    Asks (cell, chunk, asked: about ``CHUNK`` of node, component, set) are compared as a whole with each member that
-    streams by, so a pair is a number inside a task, never a row.
+    A row is one chunk of each, so that a pair is a number inside a task, never a row, and a chunk is sent once for each
+    chunk that it meets, not for each node. Few rows make a batch: each carries many sets.
     """
-    both = members.join(asks, "cell").select("node", "component", "set", "cell", "chunk", "asked")
+    both = members.select("cell", F.col("nodes").alias("met")).join(asks.select("cell", "chunk", F.col("nodes").alias("asked")), "cell").select("met", "cell", "chunk", "asked")
+
+    def lists(chunk: pa.ListScalar) -> tuple[list[int], list[int], list[np.ndarray]]:
+        rows = chunk.values
+        return rows.field("node").to_pylist(), rows.field("component").to_pylist(), [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in rows.field("set")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
-        for batch in slices(batches):
-            nodes, parts, sets, cells, chunks, asked = (batch.column(i) for i in range(6))
+        last = ids = theirs = table = None
+        for batch in batches:
+            met, cells, chunks, asked = (batch.column(i) for i in range(4))
             out: dict[str, list] = {"a": [], "b": []}
             for i in range(batch.num_rows):
-                key = (cells[i].as_py(), chunks[i].as_py())
-                if key not in known:
-                    if len(known) >= 16:  # rows of a cell follow each other
-                        known.clear()
-                    rows = asked[i].as_py()
-                    known[key] = ([r["node"] for r in rows], [r["component"] for r in rows], AskedSets([np.frombuffer(r["set"], dtype=np.uint32) for r in rows]))
-                ids, theirs, table = known[key]
-                node, part = nodes[i].as_py(), parts[i].as_py()
-                for j in table.similar(np.frombuffer(sets[i].as_buffer(), dtype=np.uint32)).tolist():
-                    if theirs[j] != part:
-                        out["a"].append(min(node, ids[j]))
-                        out["b"].append(max(node, ids[j]))
+                if (key := (cells[i].as_py(), chunks[i].as_py())) != last:
+                    ids, theirs, sets = lists(asked[i])
+                    last, table = key, AskedSets(sets)
+                for node, part, own in zip(*lists(met[i])):
+                    for j in table.similar(own).tolist():
+                        if theirs[j] != part:
+                            out["a"].append(min(node, ids[j]))
+                            out["b"].append(max(node, ids[j]))
             if out["a"]:
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
-    return staged(both.mapInArrow(run, "a long, b long"), "links")
+    return staged(both.mapInArrow(run, "a long, b long"), "links", ROWS_OF_CHUNKS)
 
 
 def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> DataFrame:
@@ -464,11 +472,8 @@ def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> Da
     outside = staged(open_.where("component <> most").select("cell", "node", "component", "size").join(ask.select("cell", F.col("asks").alias("node")), ["cell", "node"], "left_anti"), "outside")
     if outside.isEmpty():
         return links
-    left = outside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_SIZE)).alias("chunks"))
-    cut = counted_join(outside, left, "cell", many).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
-    asks = cut.join(sets, "node").groupBy("cell", "chunk").agg(F.collect_list(F.struct("node", "component", "set")).alias("asked"))
-    meeting = open_.join(left.select("cell"), "cell", "left_semi").select("node", "cell", "component").join(sets, "node")
-    return links.unionByName(met_in_chunks(meeting, staged(asks, "asks")))
+    meeting = open_.join(outside.select("cell").distinct(), "cell", "left_semi").select("cell", "node", "component", "size")
+    return links.unionByName(met_in_chunks(in_chunks(meeting, sets, many), staged(in_chunks(outside, sets, many), "asks")))
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", asking: int = ASKING) -> DataFrame:

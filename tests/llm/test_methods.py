@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,32 @@ def test_shared_folder_is_wanted_on_a_cluster():
     session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
     with pytest.raises(RuntimeError):
         common.shared_dir(session)
+
+
+def test_chunks_meet_as_pairs_do(spark):
+    """All links between components of a cell; a row carries two chunks, not a chunk for each node."""
+    r = random.Random(4)
+    base = [sorted(r.sample(range(10_000), 40)) for _ in range(3)]
+    found = [(i, i % 2, np.array(sorted({*base[i % 3][: 40 - r.randint(0, 4)], 20_000 + i}), dtype=np.uint32)) for i in range(200)]
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, _, s in found], "node long, set binary")
+    rows = spark.createDataFrame([(7, i, part, len(s)) for i, part, s in found], "cell long, node long, component long, size int")
+    chunks = simhash.in_chunks(rows, sets, 200)
+    sizes = [len(c.nodes) for c in chunks.collect()]
+    assert sum(sizes) == 200 and max(sizes) < 2 * simhash.CHUNK and len(sizes) >= 3
+    asks = simhash.in_chunks(rows.where("node < 100"), sets, 200)
+    same = lambda x, y: len(np.intersect1d(x, y)) >= simhash.SIMILARITY * len(np.union1d(x, y))
+    want = {(min(i, j), max(i, j)) for i, p, x in found for j, q, y in found[:100] if p != q and same(x, y)}
+    assert want and {tuple(x) for x in simhash.met_in_chunks(chunks, asks).collect()} == want
+
+
+def test_staged_tables_pass_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = spark.range(5_000, numPartitions=1).mapInArrow(sizes, "n long")
+    assert [r.n for r in common.staged(rows, "sizes").collect()] == [1024] * 4 + [904]
+    assert max(r.n for r in common.staged(rows, "sizes", 64).collect()) == 64 and spark.conf.get(name) == before
