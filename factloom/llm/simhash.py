@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, counted_join, map_batches, quoted, read, staged
+from .common import columns_of, counted_join, map_batches, quoted, read, split_join, staged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Words of a shingle, and least Jaccard similarity, where rows are grouped by similarity.
@@ -404,8 +404,8 @@ class AskedSets:
 def in_chunks(rows: DataFrame, sets: DataFrame, many: int) -> DataFrame:
     """Nodes (cell, node, component, size) of each cell as chunks: cell, chunk, nodes (a list of node, component, set), of
     about ``CHUNK`` nodes and ``CHUNK_SIZE`` shingles at most. many: rows, about."""
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_SIZE)).alias("chunks"))
-    dealt = counted_join(rows, cells, "cell", many).select("cell", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("chunks", F.lit(1))).alias("chunk"), "node", "component")
+    cells = rows.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_SIZE)).alias("chunks"))
+    dealt = split_join(rows, cells, "cell", many).select("cell", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("chunks", F.lit(1))).alias("chunk"), "node", "component")
     return dealt.join(sets, "node").groupBy("cell", "chunk").agg(F.collect_list(F.struct("node", "component", "set")).alias("nodes"))
 
 
@@ -453,7 +453,7 @@ def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> Da
     fits = (F.least("size", "other") >= SIMILARITY * F.greatest("size", "other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("there"))) <= FAR)
     filed = nodes.select("node", "size", "print", F.explode("blocks").alias("cell"))
     cells = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(counted_join(filed, cells, "cell", nodes.count()), "cells")
+    members = staged(split_join(filed, cells, "cell", BLOCKS * nodes.count()), "cells")
     inside = staged(members.select(F.col("node").alias("print")).distinct(), "nodes")
     wanted = nodes.join(inside.withColumnRenamed("print", "node"), "node", "left_semi").select("own")
     # one row of each node that has a candidate; rows are found by what tells them apart, so no node is a hot key
@@ -467,12 +467,12 @@ def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> Da
     labels = components(inside, links, "print").withColumnRenamed("print", "node")
     now = staged(members.drop("n").join(labels, "node"), "cells")
     parts = now.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = staged(counted_join(now, largest, "cell", many).drop("n"), "open")
+    largest = parts.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    open_ = staged(split_join(now, largest, "cell", many), "open")
     outside = staged(open_.where("component <> most").select("cell", "node", "component", "size").join(ask.select("cell", F.col("asks").alias("node")), ["cell", "node"], "left_anti"), "outside")
     if outside.isEmpty():
         return links
-    meeting = open_.join(outside.select("cell").distinct(), "cell", "left_semi").select("cell", "node", "component", "size")
+    meeting = staged(split_join(open_.select("cell", "node", "component", "size"), outside.select("cell").distinct(), "cell", many, "left_semi"), "meeting")
     return links.unionByName(met_in_chunks(in_chunks(meeting, sets, many), staged(in_chunks(outside, sets, many), "asks")))
 
 

@@ -102,6 +102,24 @@ def test_hot_keys_join_like_others(spark):
     assert got.count() == 30_000 and got.groupBy("k").agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("c")).where("m <> c").count() == 0
 
 
+def test_a_hot_partition_is_split(spark):
+    rows = spark.range(30_000, numPartitions=8).select(F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id") % 1000).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        joined = common.split_join(rows, table, "k", 30_000)
+        got = joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.id for r in got) == list(range(30_000)) and {r.n for r in got if r.k == -1} == {20_000}
+    assert sorted(r.id for r in common.split_join(rows, table.where("k < 0"), "k", 30_000, "left_semi").collect()) == [i for i in range(30_000) if i % 3]
+
+
 # --- archives ----------------------------------------------------------------------------------------------
 
 
@@ -279,6 +297,25 @@ def test_chunks_meet_as_pairs_do(spark):
     assert want and {tuple(x) for x in simhash.met_in_chunks(chunks, asks).collect()} == want
 
 
+def test_filed_blocks_pass_one_join(spark, monkeypatch):
+    """All blocks of all nodes meet the counts of their cells once, also where a cell is hot; no pair of it is lost."""
+    hot = 240
+    of = lambda i: np.arange(40 * (i // 2) if i < hot else 10**6 + 40 * i, (40 * (i // 2) if i < hot else 10**6 + 40 * i) + 40 + (i % 2), dtype=np.uint32)  # noqa: E731  two and two alike
+    node = F.col("id")
+    nodes = spark.range(20_002).select(node.alias("node"), F.lit(40).alias("size"), F.lit(0).cast("long").alias("print"), F.when(node < hot, F.array(F.lit(-1).cast("long"), node + 1)).otherwise(F.array(node + 1)).alias("blocks"), node.alias("own"))
+    rows = spark.createDataFrame([(i, i, bytearray(of(i).tobytes())) for i in range(hot + 1)], "own long, node long, set binary")
+    plans, write = {}, simhash.staged
+
+    def spy(df, tag, *more):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(simhash, "staged", spy)
+    links = {(r.a, r.b) for r in simhash.similar_links(nodes, rows).collect()}
+    assert links == {(i, i + 1) for i in range(0, hot, 2)}
+    assert plans["cells"] and not any("LeftAnti" in p or p.count("Generate") > 1 for p in plans["cells"] + plans["open"])
+
+
 def test_staged_tables_pass_small_batches(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
