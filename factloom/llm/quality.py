@@ -17,15 +17,13 @@ with a positive margin to every component.
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import words
 from .common import columns_of, map_batches, quoted, read, slices, staged
 
 BUCKETS = 1 << 18
@@ -46,32 +44,28 @@ TUNE_PARTS = 5
 #: Bins of the distribution of keys, from which the k-th largest is found.
 BINS = 4096
 
-TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
-_codes: dict[str, int] = {}
-
-
-def _code(token: str) -> int:
-    """Word code << 32 | code of its beginning; words all in capitals are told apart by shape."""
-    if (found := _codes.get(token)) is None:
-        shape, low = "^" if len(token) > 1 and token.isupper() else "", token.lower()
-        found = zlib.crc32((shape + low).encode()) << 32 | zlib.crc32((shape + low[:5] + "*").encode() if len(low) > 5 else b"*")
-        if len(_codes) > 150_000:
-            _codes.clear()
-        if len(token) <= 40:
-            _codes[token] = found
-    return found
 
 
-def buckets_of(text: str | None) -> np.ndarray:
-    """Distinct buckets of the n-grams of the whole text."""
-    tokens = TOKEN.findall(text or "")
-    both = np.fromiter(map(_code, tokens), dtype=np.uint64, count=len(tokens))
-    one, stem = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-    two = one[:-1] * np.uint64(31) + one[1:] + np.uint64(1 << 40)
-    repeated = int(10 * (one[1:] == one[:-1]).mean()) if len(one) > 1 else 0
-    every = np.concatenate([one, stem + np.uint64(1 << 41), two, np.arange(repeated, dtype=np.uint64) + np.uint64(1 << 42)])
-    return np.unique((every * _SEED) >> np.uint64(46)).astype(np.int64)
+def buckets_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Distinct buckets, in order, of the n-grams of each whole text."""
+    found = []
+    for n, owner, one, stem in words.coded(texts):
+        one, owned = one.astype(np.uint64), owner.astype(np.uint32) << np.uint32(18)
+        inside = owner[1:] == owner[:-1]
+        pairs = np.bincount(owner[1:][inside], minlength=n)
+        again = np.bincount(owner[1:][inside & (one[1:] == one[:-1])], minlength=n)
+        repeated = (10 * (again / np.maximum(pairs, 1))).astype(np.int64)
+        level = np.arange(repeated.sum()) - np.repeat(repeated.cumsum() - repeated, repeated)
+        two = (one[:-1] * np.uint64(31) + one[1:] + np.uint64(1 << 40))[inside]
+        every = np.concatenate([one, stem + np.uint64(1 << 41), two, level.astype(np.uint64) + np.uint64(1 << 42)])
+        of = np.concatenate([owned, owned, owned[1:][inside], np.repeat(np.arange(n, dtype=np.uint32) << np.uint32(18), repeated)])
+        keys = of | ((every * _SEED) >> np.uint64(46)).astype(np.uint32)
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        at = (keys & np.uint32(BUCKETS - 1)).astype(np.int64)
+        found += np.split(at, np.searchsorted(keys, np.arange(1, n, dtype=np.uint32) << np.uint32(18)))
+    return found
 
 
 def _share(*columns) -> F.Column:
@@ -89,18 +83,18 @@ class Model:
         self.shares = np.array([max(0.01, sizes.get(c, 0) / total) for c in ("good", *self.parts)])
         self.shares /= self.shares.sum()
         self.cuts = np.zeros(len(self.parts))
-        self.ratios = np.zeros((BUCKETS, len(self.parts)), dtype=np.float32)
+        self.ratios = np.zeros((len(self.parts), BUCKETS), dtype=np.float32)
         for i, (at, ratio, usual) in enumerate(signs.values()):
-            self.ratios[at, i] = ratio
+            self.ratios[i, at] = ratio
             # less what a target document of as many buckets holds by chance: long texts are no worse
-            self.ratios[:, i] -= usual
+            self.ratios[i] -= usual
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Log ratio to each component less its cut, of each whole text; without n-grams -cut."""
-        return self.margins_of([buckets_of(t) for t in texts])
+        return self.margins_of(buckets_of(texts))
 
     def margins_of(self, buckets: list[np.ndarray]) -> np.ndarray:
-        found = [self.ratios[b].sum(axis=0, dtype=np.float64) for b in buckets]
+        found = [[r.take(b).sum(dtype=np.float64) for r in self.ratios] for b in buckets]
         return np.array(found).reshape(len(buckets), len(self.parts)) - self.cuts
 
     def log_weight(self, margins: np.ndarray) -> np.ndarray:
@@ -177,8 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
     def taught(batches):
         for batch in slices(batches):
             by: dict[str, list] = {}
-            for kind, t in zip(*columns_of(batch, "kind", "text")):
-                by.setdefault(kind, []).append(buckets_of(t))
+            kinds, texts = columns_of(batch, "kind", "text")
+            for kind, buckets in zip(kinds, buckets_of(texts)):
+                by.setdefault(kind, []).append(buckets)
             for kind, found in by.items():
                 at, n = np.unique(np.concatenate([*found, np.full(len(found), -1)]), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), KINDS.index(kind)), pa.int32()), "at": at, "n": n})
@@ -194,11 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
         whole = np.zeros(len(KINDS), dtype=np.int64)
         numbers = [0, *[KINDS.index(c) for c in first.parts]]
         for batch in slices(batches):
-            each = [buckets_of(t) for t in columns_of(batch, "t")[0]]
+            each = buckets_of(columns_of(batch, "t")[0])
             margins = frozen.value.margins_of(each)
             for buckets, m in zip(each, margins):
                 kind = numbers[1 + int(m.argmin())] if m.min() <= 0 else 0
-                found[kind, buckets] += 1
+                found[kind][buckets] += 1
                 whole[kind] += 1
         for kind in range(len(KINDS)):
             if whole[kind]:

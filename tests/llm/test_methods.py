@@ -1,6 +1,9 @@
 """What makes each operator its method: weights and draws, corpus counts, spans, co-location, headers, short items."""
 
 import random
+import re
+import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import common, decontamination, licenses, packing, quality, sharding, simhash, warc
+from factloom.llm import common, decontamination, licenses, packing, quality, sharding, simhash, warc, words
 
 rng = random.Random(17)
 WORDS = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(400)]
@@ -69,6 +72,54 @@ def test_counts_cover_all_documents(spark):
     assert with_word < without - 1
 
 
+def plain_buckets(text):
+    """Distinct buckets of the n-grams, word by word."""
+    seed, at = 0x9E3779B97F4A7C15, set()
+    codes = [words.code(w) for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+    for one, stem in codes:
+        at |= {one, stem + (1 << 41)}
+    for (a, _), (b, _) in zip(codes, codes[1:]):
+        at.add(a * 31 + b + (1 << 40))
+    if len(codes) > 1:
+        again = sum(a[0] == b[0] for a, b in zip(codes, codes[1:])) / (len(codes) - 1)
+        at |= {(1 << 42) + i for i in range(int(10 * again))}
+    return sorted({(x * seed & (1 << 64) - 1) >> 46 for x in at})
+
+
+def test_word_codes_by_hand():
+    crc = zlib.crc32
+    assert words.code("Ab") == (crc(b"ab"), crc(b"*")) and words.code("A") == (crc(b"a"), crc(b"*"))
+    assert words.code("ÉCOLES") == (crc("^écoles".encode()), crc("^école*".encode()))
+
+
+def test_buckets_as_word_by_word(monkeypatch):
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    cased = [c for c in every if c.isupper() or c.islower() or c.istitle() or c.lower() != c]
+    texts = [every[i : i + 5000] for i in range(0, len(every), 5000)]
+    texts += [" ".join(f"{c} Ab{c}cdEF {c}XYZABCD {c}{c}QQQ{c}" for c in cased), None, "", " \n", "a", "a a a b", "x" * 300 + " " + "Z" * 64 + " " + "É" * 33]
+    pool = "aAbB ZΣσςİıǅßÉñ.,!_-\n\x00\x1c\x85\u2028漢字𝐀😀\u03011२"
+    texts += [""] * 5000 + ["".join(random.Random(i).choices(pool + " " * (i % 9), k=i * i)) for i in range(60)]
+    want = [plain_buckets(t) for t in texts]
+    for piece in (words.PIECE, 100):
+        monkeypatch.setattr(words, "PIECE", piece)
+        found = quality.buckets_of(texts)
+        assert len(found) == len(texts) and all(f.tolist() == w for f, w in zip(found, want))
+    assert quality.buckets_of([]) == []
+
+
+def test_no_step_of_python_for_each_word():
+    """Counts of words not seen before are made without a call for each of them."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(100)]
+    small_model().margins(texts[:1])
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        small_model().margins(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 20_000 / 4
+
+
 # --- near duplicates -------------------------------------------------------------------------------------
 
 
