@@ -20,6 +20,10 @@ a sixteenth of the hash space. All bits of such a block are correlated: they agr
 samples do, and like chance otherwise. So the pigeonhole's partitions are the blocks, threshold 0 in each:
 two texts of similarity s agree in a block with probability of about s ** SAMPLE or more, which at 0.8 misses
 one pair in six hundred. Candidates are verified by their whole shingle sets.
+
+What the blocks miss is found exactly (``missed_links``): sets of similarity 0.8 share a shingle among the first fifth
+of each, in any order that is the same for all, and every text files that fifth. Only shingles at which texts of
+different components meet make candidates.
 """
 
 from __future__ import annotations
@@ -29,11 +33,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, counted_join, map_batches, quoted, read, split_join, staged
+from .common import columns_of, counted_join, map_batches, quoted, read, slices, split_join, staged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Words of a shingle, and least Jaccard similarity, where rows are grouped by similarity.
@@ -46,6 +51,9 @@ BLOCKS = 1 << BLOCK_BITS
 ASKING, CHUNK, CHUNK_SIZE, ROWS_OF_CHUNKS = 3, 48, 8_000, 64
 #: Bits in which whole prints of a pair may differ: at similarity 0.8 ten are usual, with a deviation below three.
 FAR = 21
+#: Texts, about, of a hash sample that tells which shingles are usual, how many of them hold such a shingle, and how many
+#: shingles are told at most. It sets the order in which a text files its shingles, hence the speed, never the result.
+ORDER_TEXTS, USUAL, USUAL_MOST = 10_000, 4, 1 << 20
 #: Members of a cell that are compared pair by pair; fuller cells take the linear way.
 CELL = 64
 _MASK = (1 << 64) - 1
@@ -344,10 +352,46 @@ def row_key(docs: DataFrame, key: str, text: str) -> F.Column:
     return F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.xxhash64(*quoted(docs.columns)).alias("row"))
 
 
+def usual_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and how many of a sample do."""
+    draw = F.pmod(F.xxhash64(text, F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.where(draw < min(1.0, ORDER_TEXTS / max(1, docs.count()))).select(F.col(text).alias("t")).distinct()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"shingle": pa.array(np.concatenate([shingle_set(t) for t in columns_of(batch, "t")[0]]).view(np.int64))}
+
+    counts = map_batches(sample, run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= USUAL)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(USUAL_MOST).toPandas()
+    values = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found["n"].to_numpy(np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, usual: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of the set, unusual ones before usual ones: as many as leave too few for ``SIMILARITY``.
+
+    A set of that similarity shares at least ``least`` shingles; the first of these in the order has ``least - 1`` behind
+    it in either set, so it stands in both prefixes.
+    """
+    least = int(np.ceil(SIMILARITY * len(shingles) - 1e-9))
+    many = len(shingles) - least + 1 if len(shingles) else 0
+    values, counts = usual
+    if not len(values):
+        return shingles[:many]
+    at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+    known = values[at] == shingles
+    first = shingles[~known][:many]
+    if len(first) == many:
+        return first
+    last = shingles[known][np.argsort(counts[at[known]], kind="stable")]
+    return np.concatenate([first, last[: many - len(first)]])
+
+
 def wide_prints(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """own (``row_key``), node (a hash of the shingle set), size, print, blocks and the set as 32-bit
+    """own (``row_key``), node (a hash of the shingle set), size, print, blocks, prefix and the set as 32-bit
     numbers, of every row, staged."""
     rows = docs.select(row_key(docs, key, text).alias("own"), F.col(text).alias("t"))
+    usual = docs.sparkSession.sparkContext.broadcast(usual_shingles(docs, text))
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t) for t in columns_of(batch, "t")[0]]
@@ -357,10 +401,11 @@ def wide_prints(docs: DataFrame, *, key: str, text: str) -> DataFrame:
             "size": pa.array(map(len, sets), pa.int32()),
             "print": pa.array([signed(majority(s)) for s in sets], pa.int64()),
             "blocks": pa.array(map(block_prints, sets), pa.list_(pa.int64())),
+            "prefix": pa.array([prefix(s, usual.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
             "set": pa.array([(s >> np.uint64(32 - BLOCK_BITS)).astype(np.uint32).tobytes() for s in sets], pa.binary()),
         }
 
-    return staged(map_batches(rows, run, f"own {rows.schema['own'].dataType.simpleString()}, node long, size int, print long, blocks array<long>, set binary"), "shingles")
+    return staged(map_batches(rows, run, f"own {rows.schema['own'].dataType.simpleString()}, node long, size int, print long, blocks array<long>, prefix array<long>, set binary"), "shingles")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -442,7 +487,7 @@ def met_in_chunks(members: DataFrame, asks: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> DataFrame:
-    """Links (a, b): their components are those of all verified pairs that share a block.
+    """Links (a, b): their components are those of all verified pairs that share a block, or nearly: ``missed_links`` finds the rest.
 
     First a few nodes of each cell (a block's print) are compared with all its others, which joins most groups of
     copies. Then, in cells whose nodes are not all known to be joined, every node outside of the cell's largest
@@ -476,6 +521,53 @@ def similar_links(nodes: DataFrame, rows: DataFrame, asking: int = ASKING) -> Da
     return links.unionByName(met_in_chunks(in_chunks(meeting, sets, many), staged(in_chunks(outside, sets, many), "asks")))
 
 
+def sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and set of the nodes in ``wanted``, staged; rows are found by what tells them apart, so no node is a hot key."""
+    own = nodes.join(wanted.distinct(), "node", "left_semi").select("own")
+    return staged(rows.join(own, "own", "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
+
+
+def missed_links(nodes: DataFrame, rows: DataFrame, labels: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links (a, b) of nodes in different components (labels: node, component): with them, components are those of all
+    pairs of ``SIMILARITY``, whether they share a block or not.
+
+    Such pairs share a shingle of their prefixes. In each shingle's cell, the nodes outside of the cell's largest
+    component are compared with those of other components: pair by pair in small cells, in chunks in fuller ones, where
+    cells of the same largest component are taken together, as their nodes are much the same.
+    """
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies are filed once by a task, or nearly
+        for batch in slices(batches):
+            if len(seen) > 500_000:
+                seen.clear()
+            at = [i for i, node in enumerate(batch.column(0).to_pylist()) if not (node in seen or seen.add(node))]
+            kept = batch.take(pa.array(at, pa.int32()))
+            lists = kept.column(1)
+            yield pa.RecordBatch.from_pydict({"cell": lists.flatten(), "node": kept.column(0).take(pc.list_parent_indices(lists))})
+
+    # a shingle of one node only meets none
+    every = Window.partitionBy("cell")
+    filed = rows.select("node", "prefix").mapInArrow(file, "cell long, node long")
+    filed = filed.select("cell", "node", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).where("low < high").select("cell", "node").distinct()
+    known = staged(filed.join(nodes.select("node", "size").join(labels, "node"), "node"), "shared")
+    parts = known.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    many = known.count()
+    open_ = staged(split_join(known, largest, "cell", many), "meeting")
+    small = open_.where(F.col("n") <= cell)
+    asks = small.where("component <> most").select("cell", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("component").alias("part"))
+    met = small.join(asks, "cell").where("component <> part").where(F.least("size", "other") >= SIMILARITY * F.greatest("size", "other"))
+    pairs = staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs")
+    links = alike(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows))
+    full = open_.where(F.col("n") > cell).select(F.col("most").alias("cell"), "node", "component", "size").distinct()
+    if full.isEmpty():
+        return links
+    full = staged(full, "full")
+    sets = sets_of(full.select("node"), nodes, rows)
+    return links.unionByName(met_in_chunks(in_chunks(full, sets, many), staged(in_chunks(full.where("component <> cell"), sets, many), "asks")))
+
+
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", asking: int = ASKING) -> DataFrame:
     """Rows of ``docs``, columns as they are, one of each group of near duplicates: that with the smallest
     key, rows without key last.
@@ -487,7 +579,13 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", as
     rows = wide_prints(docs, key=key, text=text)
     nodes = staged(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print"), F.first("blocks").alias("blocks"), F.min("own").alias("own"), F.count(F.lit(1)).alias("n")), "nodes")
     links = similar_links(nodes, rows, asking)
-    labels = components(nodes.select(F.col("node").alias("print")), links, "print").withColumnRenamed("print", "node")
+    labels = staged(components(nodes.select(F.col("node").alias("print")), links, "print").withColumnRenamed("print", "node"), "labels")
+    more = missed_links(nodes, rows, labels)
+    if not more.isEmpty():
+        part = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+        between = more.join(part("a"), "a").join(part("b"), "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+        joined = components(labels.select(F.col("component").alias("print")).distinct(), between, "print").select(F.col("print").alias("was"), F.col("component").alias("now"))
+        labels = split_join(labels.withColumnRenamed("component", "was"), joined.where("was <> now"), "was", labels.count(), "left").select("node", F.coalesce("now", "was").alias("component"))
     best = nodes.select("node", "own").join(labels, "node").groupBy("component").agg(F.min("own").alias("own"))
     keep = best.select(F.col("own.row").alias("__factloom_row"))
     columns = quoted(docs.columns)

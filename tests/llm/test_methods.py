@@ -135,6 +135,67 @@ def test_blocks_agree_as_their_samples_do():
     assert not set(same.tolist()) & set(simhash.block_prints(simhash.shingle_set(prose(400, 4))).tolist())
 
 
+def pair_without_block(words=320, changes=7):
+    """Two texts of five-word Jaccard 0.8 or more that share no block."""
+    for seed in range(680, 20_000):
+        r = random.Random(seed)
+        text = [str(r.getrandbits(40)) for _ in range(words)]
+        other = list(text)
+        for at in r.sample(range(0, words, 5), changes):
+            other[at] = "other"
+        x, y = (simhash.shingle_set(" ".join(t)) for t in (text, other))
+        shared = len(np.intersect1d(x, y))
+        if shared >= 0.8 * (len(x) + len(y) - shared) and not set(simhash.block_prints(x).tolist()) & set(simhash.block_prints(y).tolist()):
+            return " ".join(text), " ".join(other)
+    raise AssertionError("no such pair")
+
+
+def test_near_copies_without_a_common_block(spark):
+    a, b = pair_without_block()
+    rows = [(1, a), (2, b), (3, b), (4, prose(300, 5)), (5, b + " tail")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [rows[0], rows[3]]
+
+
+@pytest.mark.parametrize("cell", [1, 64])
+def test_missed_links_by_brute_force(spark, monkeypatch, cell):
+    """All pairs of the similarity between components, in small cells and in full ones; usual shingles lose none."""
+    monkeypatch.setattr(simhash, "USUAL", 3)
+    r = random.Random(8)
+    line = prose(20, 77)
+    texts = [prose(30, 900 + i) + " " + line for i in range(20)]
+    for base in range(5):
+        text = prose(60 + 20 * base, 800 + base).split()
+        for _ in range(9):
+            other = list(text)
+            for at in r.sample(range(len(text)), r.choice([0, 1, 1, 2, 3])):
+                other[at] = r.choice(["one", "other"])
+            texts.append(" ".join(other))
+    rows = simhash.wide_prints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), key="doc_id", text="text")
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.min("own").alias("own")).cache()
+    sets = {x.node: set(np.frombuffer(x["set"], np.uint32).tolist()) for x in rows.collect()}
+    part = {n: min(sets) if i % 3 == 0 else n for i, n in enumerate(sorted(sets))}
+    labels = spark.createDataFrame(list(part.items()), "node long, component long")
+    like = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    found = {tuple(x) for x in simhash.missed_links(nodes, rows, labels, cell=cell).collect()}
+    assert found <= like and {(a, b) for a, b in like if part[a] != part[b]} <= found
+
+
+@pytest.mark.parametrize("known", [0, 40])
+def test_prefixes_meet(known):
+    r = random.Random(known)
+    usual = np.array(sorted(r.sample(range(200), known)), dtype=np.uint64), np.array([r.randint(4, 9) for _ in range(known)])
+    met = 0
+    for _ in range(3_000):
+        x = r.sample(range(200), r.randint(1, 60))
+        y = {*r.sample(x, max(1, len(x) - r.randint(0, 6))), *r.sample(range(200), r.randint(0, 6))}
+        if 5 * len({*x} & y) >= 4 * len({*x} | y):
+            met += 1
+            a, b = (simhash.prefix(np.array(sorted(s), dtype=np.uint64), usual) for s in (x, y))
+            assert set(a.tolist()) & set(b.tolist()) and len(a) == len(x) - -(-4 * len(x) // 5) + 1
+    assert met > 500
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_asked_sets_by_brute_force(seed):
     r = random.Random(seed)
