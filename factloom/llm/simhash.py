@@ -532,8 +532,8 @@ def missed_links(nodes: DataFrame, rows: DataFrame, labels: DataFrame, cell: int
     pairs of ``SIMILARITY``, whether they share a block or not.
 
     Such pairs share a shingle of their prefixes. In each shingle's cell, the nodes outside of the cell's largest
-    component are compared with those of other components: pair by pair in small cells, in chunks in fuller ones, where
-    cells of the same largest component are taken together, as their nodes are much the same.
+    component are compared with those of other components: pair by pair in small cells, if they share cells enough, and in
+    chunks in fuller ones, where cells of the same largest component are taken together, as their nodes are much the same.
     """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -557,8 +557,13 @@ def missed_links(nodes: DataFrame, rows: DataFrame, labels: DataFrame, cell: int
     open_ = staged(split_join(known, largest, "cell", many), "meeting")
     small = open_.where(F.col("n") <= cell)
     asks = small.where("component <> most").select("cell", F.col("node").alias("asks"), F.col("size").alias("other"), F.col("component").alias("part"))
-    met = small.join(asks, "cell").where("component <> part").where(F.least("size", "other") >= SIMILARITY * F.greatest("size", "other"))
-    pairs = staged(met.select(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b")).distinct(), "pairs")
+    # a pair once in each cell that it shares
+    met = small.join(asks, "cell").where("component <> part").where("component = most or node < asks").where(F.least("size", "other") >= SIMILARITY * F.greatest("size", "other"))
+    met = met.groupBy(F.least("node", "asks").alias("a"), F.greatest("node", "asks").alias("b"), F.least("size", "other").alias("less"), F.greatest("size", "other").alias("more")).agg(F.count(F.lit(1)).alias("n"))
+    # of two sets, that whose prefix ends first has no shared shingle before that end but those of both prefixes: no more are
+    # shared than these and its others. Pairs with a shingle in a full cell, not counted here, are compared there
+    least = F.ceil(SIMILARITY * F.col("more") - 1e-9)
+    pairs = staged(met.where(F.col("n") + least - 1 >= SIMILARITY / (1 + SIMILARITY) * (F.col("less") + F.col("more")) - 1e-6).select("a", "b"), "pairs")
     links = alike(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows))
     full = open_.where(F.col("n") > cell).select(F.col("most").alias("cell"), "node", "component", "size").distinct()
     if full.isEmpty():
