@@ -56,6 +56,8 @@ FAR = 21
 ORDER_TEXTS, USUAL, USUAL_MOST = 10_000, 4, 1 << 20
 #: Members of a cell that are compared pair by pair; fuller cells take the linear way.
 CELL = 64
+#: Members of a shingle's cell whose pairs are counted as rows before any is verified; fuller cells are compared in chunks.
+SHARED_CELL = 512
 _MASK = (1 << 64) - 1
 
 
@@ -527,7 +529,7 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return staged(rows.join(own, "own", "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
 
 
-def missed_links(nodes: DataFrame, rows: DataFrame, labels: DataFrame, cell: int = CELL) -> DataFrame:
+def missed_links(nodes: DataFrame, rows: DataFrame, labels: DataFrame, cell: int = SHARED_CELL) -> DataFrame:
     """Links (a, b) of nodes in different components (labels: node, component): with them, components are those of all
     pairs of ``SIMILARITY``, whether they share a block or not.
 
